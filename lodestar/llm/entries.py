@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import mix, pack, split_items, splits
-from lodestar.plans.storage import load
+from lodestar.llm import mix, pack, quality, similar, split_items, splits
+from lodestar.plans.storage import load, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,20 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_items.split_chunks(load(spark, sf, "chunks")).drop("locator").withColumn("chars", F.length("text"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = load(spark, sf, "vectors")
+    return similar.similar_pairs(similar.most_similar(vectors, load(spark, sf, "profiles")), vectors)
+
+
+def p2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return similar.most_similar(load(spark, sf, "vectors"), load(spark, sf, "profiles"))
+
+
+def p2_recall(spark: SparkSession, sf: str) -> DataFrame:
+    vectors, profiles = load(spark, sf, "vectors"), load(spark, sf, "profiles")
+    return similar.recall(similar.most_similar(vectors, profiles), vectors, profiles)
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return splits.breaches(splits.related(load(spark, sf, "queries"), load(spark, sf, "judgments"))).distinct()
 
@@ -46,6 +60,18 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix.mixture(load(spark, sf, "documents"), load(spark, sf, "source_targets"))[1]
 
 
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.scored(written(quality.statistics(load(spark, sf, "documents"), load(spark, sf, "common_words")), "quality"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.forms(_scores(spark, sf)).where("form <> 'prose'").select("doc_id", "form").distinct()
+
+
+def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.forms(_scores(spark, sf))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
