@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import mix, pack, quality, similar, split_items, splits
+from lodestar.llm import code_files, functions, mix, pack, quality, similar, split_items, splits
 from lodestar.plans.storage import load, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,17 @@ def p2_recall(spark: SparkSession, sf: str) -> DataFrame:
     return similar.recall(similar.most_similar(vectors, profiles), vectors, profiles)
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = functions.pairs(functions.symbols(load(spark, sf, "chunks")))
+    return found.select("revision_id", "func_name").distinct()
+
+
+def p4_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    roots = load(spark, sf, "revisions").select(F.col("id").alias("revision_id"), "file_id").dropDuplicates(["revision_id"])
+    roots = roots.join(load(spark, sf, "files").select(F.col("id").alias("file_id"), "root_id"), "file_id")
+    return functions.pairs(written(functions.symbols(load(spark, sf, "chunks")), "symbols"), roots)
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return splits.breaches(splits.related(load(spark, sf, "queries"), load(spark, sf, "judgments"))).distinct()
 
@@ -44,6 +55,14 @@ def p5_splits(spark: SparkSession, sf: str) -> DataFrame:
     return splits.assign(splits.related(load(spark, sf, "queries"), load(spark, sf, "judgments")))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return code_files.verdicts(load(spark, sf, "files"), load(spark, sf, "chunks")).where("not valid").select("file_id")
+
+
+def p6_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return code_files.rates(code_files.verdicts(load(spark, sf, "files"), load(spark, sf, "chunks")))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return pack.pack_documents(load(spark, sf, "documents")).where("oversized").select("doc_id").distinct()
 

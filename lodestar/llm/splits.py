@@ -12,13 +12,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from lodestar.operators.prefix import running_sum
 from lodestar.plans.storage import written
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def family_key(names: pd.Series) -> pd.Series:
     """Names without case, accents and all that is no letter or digit; nothing left: null."""
 
