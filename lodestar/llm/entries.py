@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import code_files, functions, mix, pack, quality, similar, split_items, splits
+from lodestar.llm import code_files, functions, mix, pack, quality, scans, similar, split_items, splits
 from lodestar.plans.storage import load, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,14 @@ def p2_recall(spark: SparkSession, sf: str) -> DataFrame:
     return similar.recall(similar.most_similar(vectors, profiles), vectors, profiles)
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.defects(load(spark, sf, "chunks"))
+
+
+def p3_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.paragraphs(load(spark, sf, "chunks"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     found = functions.pairs(functions.symbols(load(spark, sf, "chunks")))
     return found.select("revision_id", "func_name").distinct()
