@@ -280,7 +280,8 @@ def corrections(scanned: DataFrame, least: int = 4, ratio: float = 4.0, alike: f
     linked = near.join(rare, "wrong").join(frequent.select(F.col("word").alias("right"), "n", "u"), "right").where(F.col("n") >= ratio * F.col("_n"))
     cosine = dot(F.col("u"), F.col("_u")) / F.sqrt(dot(F.col("u"), F.col("u")) * dot(F.col("_u"), F.col("_u")) + 1e-12)
     odd = F.col("wrong").rlike("[0-9@!|]")
-    linked = linked.withColumn("_cos", cosine).where((odd & (F.col("edits") == 1)) | (F.col("_cos") >= alike))
+    plain = (F.col("edits") == 1) & (F.length("wrong") > 3) & (F.col("n") >= much * F.col("_n")) & (F.col("_cos") > -alike)
+    linked = linked.withColumn("_cos", cosine).where((odd & (F.col("edits") == 1)) | plain | (F.col("_cos") >= alike))
     best = F.max_by("right", F.struct(-F.col("edits"), F.col("_cos"), F.col("n"), "right")).alias("right")
     return written(linked.groupBy("wrong").agg(best), "scan-corrections")
 
