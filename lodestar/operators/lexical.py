@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import index_tokens, query_terms, split_identifiers
 from lodestar.operators.catalog import once
+from lodestar.plans.storage import written
 
 FIELDS = ("text", "name", "path", "symbol")
 
@@ -70,3 +71,35 @@ def top(scored: DataFrame, k: int, key: str = "query_id", item: str = "chunk_id"
     order = F.col("score").asc() if best_first == "asc" else F.col("score").desc()
     w = Window.partitionBy(key).orderBy(order, item)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def classes(terms: DataFrame, scopes: DataFrame | None = None, key: str = "query_id") -> tuple[DataFrame, DataFrame]:
+    """Queries of equal terms (and equal ``scope``) are one question: ``(query_id, class_id)`` and the terms of each class.
+
+    A batch of searches repeats itself; each different question is scored once. ``class_id`` is the lowest id.
+    """
+    sets = terms.groupBy(key).agg(F.sort_array(F.collect_set("term")).alias("_ts"))
+    sets = sets.withColumn("scope", F.lit(None).cast("string")) if scopes is None else sets.join(scopes.select(key, "scope"), key)
+    lowest = sets.groupBy("_ts", "scope").agg(F.min(key).alias("class_id"), F.collect_list(key).alias("_ids"))
+    lowest = written(lowest, "question-classes")
+    members = lowest.select("class_id", "scope", F.explode("_ids").alias(key))
+    return members, lowest.select(F.col("class_id").alias(key), "scope", F.explode("_ts").alias("term"))
+
+
+def answers(queries: DataFrame, postings_: DataFrame, stats: DataFrame, allowed: DataFrame, k: int, scopes: DataFrame | None = None, order: str = "score", key: str = "query_id") -> DataFrame:
+    """``(query_id, chunk_id, score, matched, rank)``: the k best eligible rows of each query by ``order`` (score or number of terms).
+
+    ``allowed``: ``chunk_id`` and, with ``scopes`` (``query_id, scope``), its ``scope``; a null scope of a query allows all.
+    """
+    members, asked = classes(terms_of(queries), scopes)
+    hits = bm25(asked.select(key, "term"), postings_, stats)
+    if scopes is None:
+        hits = hits.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
+    else:
+        hits = hits.join(allowed.select("chunk_id", F.col("scope").alias("_own")), "chunk_id").join(asked.select(key, "scope").distinct(), key)
+        hits = hits.where(F.col("scope").isNull() | (F.col("scope") == F.col("_own"))).drop("_own", "scope")
+    by = hits if order == "score" else hits.withColumn("_s", F.col("score")).withColumn("score", -F.col("matched"))
+    best = top(by, k)
+    best = best if order == "score" else best.withColumn("score", F.col("_s")).drop("_s")
+    best = best.withColumnRenamed(key, "class_id")
+    return members.select("class_id", key).join(best, "class_id").drop("class_id")

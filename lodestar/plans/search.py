@@ -37,10 +37,8 @@ def build(spark, sf_dir: str, settings: Settings | None = None) -> Index:
 
 def lexical_branch(index: Index, queries: DataFrame, s: Settings, allowed: DataFrame | None = None) -> DataFrame:
     """``(query_id, chunk_id, score, matched, rank)``: candidates are eligible chunks only, statistics are of all rows."""
-    terms = lexical.terms_of(queries)
-    scored = lexical.bm25(terms, index.postings, index.stats)
     ok = (allowed if allowed is not None else index.chunks).select("chunk_id")
-    return lexical.top(scored.join(ok, "chunk_id", "left_semi"), s.candidates)
+    return lexical.answers(queries, index.postings, index.stats, ok, s.candidates)
 
 
 def two_terms(branch: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -63,10 +61,13 @@ def semantic_branch(index: Index, queries: DataFrame, s: Settings) -> DataFrame:
 def hybrid(index: Index, queries: DataFrame, settings: Settings | None = None) -> DataFrame:
     """The results of hybrid search, ``limit`` per query: file, score, kind of match, copies, first evidence.
 
-    ``queries``: ``query_id, query``. A query of one term is answered by terms alone; stop words alone by meaning alone.
+    ``queries``: ``query_id, query``. A query of one term is answered by terms alone; stop words alone by meaning alone; a null
+    query has no results.
     """
     s = settings or Settings()
-    q = written(queries, "queries")
+    # equal texts are asked once and their answers handed to each of the queries
+    asked = written(queries.where("query is not null").groupBy("query").agg(F.min("query_id").alias("class_id"), F.collect_list("query_id").alias("ids")), "queries")
+    q = asked.select(F.col("class_id").alias("query_id"), "query")
     n = q.select("query_id", F.size(query_terms(F.col("query"))).alias("n"))
     words = written(two_terms(lexical_branch(index, q, s), q, index.chunks), "branch-terms")
     wide = q.join(n.where("n <> 1"), "query_id", "left_semi")
@@ -83,4 +84,6 @@ def hybrid(index: Index, queries: DataFrame, settings: Settings | None = None) -
     first = fusion.evidence(full.select("query_id", "file_id", "chunk_id", "text_hash", "kind", "rank"), s.evidence)
     shown = first.join(index.chunks.select("chunk_id", snippet(F.col("text"), s.snippet_chars).alias("snippet"), location_label(F.col("locator")).alias("label")), "chunk_id")
     shown = shown.groupBy("query_id", "file_id").agg(F.count("*").alias("evidence"), F.min_by("chunk_id", "place").alias("chunk_id"), F.min_by("label", "place").alias("label"))
-    return kinds.join(shown, ["query_id", "file_id"]).select("query_id", "place", "file_id", "relative_path", "score", "match_kind", "evidence", "chunk_id", "label")
+    found = kinds.join(shown, ["query_id", "file_id"]).withColumnRenamed("query_id", "class_id")
+    each = asked.select("class_id", F.explode("ids").alias("query_id"))
+    return found.join(each, "class_id").select("query_id", "place", "file_id", "relative_path", "score", "match_kind", "evidence", "chunk_id", "label")

@@ -230,9 +230,9 @@ def _(spark, sf):
     return lexical.corpus_stats(_rows(spark, sf)).withColumn("mean_length", F.round("mean_length", 6))
 
 
-def _bm25(spark, sf, q):
+def _answers(spark, sf, live, k, **kw):
     rows = _rows(spark, sf)
-    return lexical.bm25(lexical.terms_of(q), written(lexical.postings(rows), "postings"), lexical.corpus_stats(rows))
+    return lexical.answers(_queries(spark, sf), written(lexical.postings(rows), "postings"), lexical.corpus_stats(rows), live, k, **kw)
 
 
 @query(
@@ -242,8 +242,7 @@ def _bm25(spark, sf, q):
 )
 def _(spark, sf):
     live = catalog.live_chunks(load(spark, sf, "chunks"), _live(spark, sf), ())
-    hits = _bm25(spark, sf, _queries(spark, sf)).join(live.select("chunk_id"), "chunk_id", "left_semi")
-    return lexical.top(hits, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "matched", F.col("rank").cast("long").alias("rank"))
+    return _answers(spark, sf, live, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "matched", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -253,11 +252,9 @@ def _(spark, sf):
     SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ra WHERE rank <= 10""",
 )
 def _(spark, sf):
-    q = _queries(spark, sf)
-    live = catalog.live_chunks(load(spark, sf, "chunks"), _live(spark, sf), ()).select("chunk_id", "modality")
-    hits = _bm25(spark, sf, q).join(live, "chunk_id").join(q.select("query_id", F.col("filters.modality").alias("_m")), "query_id")
-    hits = hits.where(F.col("_m").isNull() | (F.col("_m") == F.col("modality")))
-    return lexical.top(hits, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    live = catalog.live_chunks(load(spark, sf, "chunks"), _live(spark, sf), ()).select("chunk_id", F.col("modality").alias("scope"))
+    wanted = _queries(spark, sf).select("query_id", F.col("filters.modality").alias("scope"))
+    return _answers(spark, sf, live, 10, scopes=wanted).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("keyword_only_gate", f"WITH {_QT} SELECT query_id, len(ts) = 1 AS keyword_only, len(ts) = 0 AS meaning_only FROM qt")
@@ -332,9 +329,11 @@ _LEX = f"""WITH {_LIVE}, {_QT}, {_IX}, lx AS (SELECT * FROM (SELECT query_id, ch
 
 def _branches(spark, sf):
     live = written(catalog.live_chunks(load(spark, sf, "chunks"), _live(spark, sf), ("kind", "text_hash")), "live")
-    hits = written(_bm25(spark, sf, _queries(spark, sf)).join(live.select("chunk_id"), "chunk_id", "left_semi"), "bm25")
-    by_count = hits.withColumn("score", -F.col("matched"))
-    return live, lexical.top(hits, 50).select("query_id", "chunk_id", "rank"), lexical.top(by_count, 50).select("query_id", "chunk_id", "rank")
+    rows = _rows(spark, sf)
+    posts, stats = written(lexical.postings(rows), "postings"), written(lexical.corpus_stats(rows), "stats")
+    q = _queries(spark, sf)
+    by_score, by_count = (lexical.answers(q, posts, stats, live, 50, order=o).select("query_id", "chunk_id", "rank") for o in ("score", "matched"))
+    return live, by_score, by_count
 
 
 @query("rrf_two_branches", _LEX + """, f AS (SELECT query_id, chunk_id, round(sum(1 / (60 + rank)), 12) AS score FROM (SELECT * FROM lx UNION ALL SELECT * FROM nm) GROUP BY ALL)
@@ -376,9 +375,8 @@ def _(spark, sf):
    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank > 20, CASE WHEN rank <= 20 THEN -other END, CASE WHEN rank <= 20 THEN chunk_id END, rank) AS rank FROM r""")
 def _(spark, sf):
     live = catalog.live_chunks(load(spark, sf, "chunks"), _live(spark, sf), ())
-    hits = written(_bm25(spark, sf, _queries(spark, sf)), "bm25")
-    branch = lexical.top(hits.join(live.select("chunk_id"), "chunk_id", "left_semi"), 50).select("query_id", "chunk_id", "rank")
-    out = fusion.rerank(branch, hits.select("query_id", "chunk_id", F.col("matched").cast("double").alias("other")))
+    branch = written(_answers(spark, sf, live, 50), "branch")
+    out = fusion.rerank(branch.select("query_id", "chunk_id", "rank"), branch.select("query_id", "chunk_id", F.col("matched").cast("double").alias("other")))
     return out.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 

@@ -64,7 +64,7 @@ def decoded(content: Column) -> Column:
     wide = head.isin("FFFE", "FEFF")
     zero = F.locate("00", F.regexp_replace(F.hex(content), "(..)", "$1 ")) > 0
     utf8 = F.try_validate_utf8(content.cast("string"))
-    text = F.when(wide, F.decode(content, F.lit("UTF-16"))).otherwise(utf8)
+    text = F.when(wide, F.decode(content, "UTF-16")).otherwise(utf8)
     text = F.regexp_replace(text, "^﻿", "")
     error = F.when(~wide & zero, "BINARY_FILE").when(text.isNull(), "UNSUPPORTED_ENCODING")
     return F.struct(F.when(error.isNull(), text).alias("text"), error.alias("error"))
