@@ -48,12 +48,17 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def _pack_groups(items: DataFrame, capacity: int, prefix: str) -> DataFrame:
-    """Items with ``container`` and its ``fill``; every ``_group`` is packed on its own, largest items first."""
+    """Items with ``container`` and its ``fill``; every ``_group`` is packed on its own, once with the largest items first
+    and once in mixed order, and the packing with fewer containers stands."""
     schema = "doc_id long, piece int, tokens long, oversized boolean, container string, fill long"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        place = sum_of_squares(pdf["tokens"].to_numpy(), capacity)
+        sizes = pdf["tokens"].to_numpy()
+        place, mixed = sum_of_squares(sizes, capacity), np.random.default_rng(len(sizes)).permutation(len(sizes))
+        other = sum_of_squares(sizes[mixed], capacity)
+        if other.max() < place.max():
+            place = other[np.argsort(mixed)]
         fill = np.bincount(place, weights=pdf["tokens"].to_numpy()).astype(np.int64)
         group = int(pdf["_group"].iloc[0])
         out = pdf[["doc_id", "piece", "tokens", "oversized"]].copy()

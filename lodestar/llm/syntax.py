@@ -13,7 +13,7 @@ from __future__ import annotations
 import functools
 import re
 
-CODE, LINE, BLOCK, DOUBLE, SINGLE, BACK, TRIPLE_D, TRIPLE_S = "c/*\"'`DS"
+CODE, LINE, BLOCK, DOUBLE, SINGLE, BACK, TRIPLE_D, TRIPLE_S, DIRECTIVE = "c/*\"'`DS#"
 
 #: Language by extension (fixed values); .h is C and .hpp C++, .jsx and .tsx are as JavaScript and TypeScript.
 LANGUAGES = {"py": "python", "java": "java", "js": "js", "jsx": "js", "ts": "ts", "tsx": "ts", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "go": "go", "rs": "rust", "sql": "sql"}
@@ -24,8 +24,8 @@ STATES = {
     "java": (CODE, LINE, BLOCK, DOUBLE, TRIPLE_D),
     "js": (CODE, LINE, BLOCK, DOUBLE, SINGLE, BACK),
     "ts": (CODE, LINE, BLOCK, DOUBLE, SINGLE, BACK),
-    "c": (CODE, LINE, BLOCK, DOUBLE),
-    "cpp": (CODE, LINE, BLOCK, DOUBLE),
+    "c": (CODE, LINE, BLOCK, DOUBLE, DIRECTIVE),
+    "cpp": (CODE, LINE, BLOCK, DOUBLE, DIRECTIVE),
     "go": (CODE, LINE, BLOCK, DOUBLE, BACK),
     "rust": (CODE, LINE, BLOCK, DOUBLE),
     "sql": (CODE, LINE, BLOCK, SINGLE, DOUBLE),
@@ -33,6 +33,7 @@ STATES = {
 #: What ends a state; a newline in a string of one line is a violation.
 LEAVE = {
     LINE: re.compile(r"(?=\n)"),
+    DIRECTIVE: re.compile(r"(?:[^\n\\]|\\[\s\S])*(?=\n)"),
     BLOCK: re.compile(r"\*/"),
     DOUBLE: re.compile(r'(?:[^"\\\n]|\\[\s\S])*"'),
     SINGLE: re.compile(r"(?:[^'\\\n]|\\[\s\S])*'"),
@@ -87,7 +88,7 @@ def _lexer(language: str) -> re.Pattern:
         if language in ("js", "ts", "go"):
             parts.append(r"(?P<tick>`(?:[^`\\]|\\[\s\S])*`)|(?P<kopen>`)")
         if language in ("js", "ts"):
-            parts.append(r"(?P<regex>(?<=[(,=:\[!&|?{};\n])[ \t]*/(?![/*\s])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)")
+            parts.append(r"(?P<regex>(?:(?<=[(,=:\[!&|?{};\n])|\A)[ \t]*/(?![/*\s])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)")
         if language == "rust":
             parts.append(r"""(?P<raw>b?r(?P<h>#*)"[\s\S]*?"(?P=h))|(?P<life>'[^\W\d]\w*(?!'))""")
             parts.append(r"""(?P<str>b?"(?:[^"\\]|\\[\s\S])*"|b?'(?:[^'\\\n]|\\[^\n]{1,8}?)')""")
@@ -96,7 +97,7 @@ def _lexer(language: str) -> re.Pattern:
         parts.append(r"(?P<open>[\"'])")
         if language in ("go", "js", "ts"):
             parts.append(r"(?P<nl>\n)")
-    ops = sorted((o for o in OPERATORS if o != "//" or language == "python"), key=len, reverse=True)
+    ops = sorted((o for o in OPERATORS if (o != "//" or language == "python") and (o != "::" or language != "python")), key=len, reverse=True)
     parts.append(rf"(?P<name>{_NAME})|(?P<num>{_NUMBER})|(?P<op>(?:{'|'.join(map(re.escape, ops))})=(?!=)(?<![=!<>:]=)|{'|'.join(map(re.escape, ops))})|(?P<odd>[^\s])")
     return re.compile("|".join(parts), re.M)
 
@@ -114,7 +115,7 @@ def _letter(language: str):
     def letter(m: re.Match) -> str:
         kind = m.lastgroup
         if kind == "name":
-            return words.get(m[0], "w") if language != "sql" else f" {m[0].upper()} "
+            return words.get(m[0], "w") if language != "sql" else f" {m[0].upper()}{'_' if len(m[0]) == 1 else ''} "  # no name is one letter, as groups are
         if kind == "op":
             op = m[0]
             return arrow if op == "->" else OPERATORS.get(op) or "="
@@ -142,7 +143,7 @@ def read(text: str, start: str, language: str) -> tuple[str, str]:
                 return CODE, "!"  # a string of one line runs over its end
             return start, ""
         pos = m.end()
-        head = "n" if start not in (LINE, BLOCK) else ""
+        head = "n" if start not in (LINE, BLOCK, DIRECTIVE) else ""
     end = CODE
     text = text[pos:]
     # what stands open at the end: the last comment or string that does not close
@@ -161,8 +162,8 @@ def read(text: str, start: str, language: str) -> tuple[str, str]:
                 state = {"bopen": BLOCK, "topen": TRIPLE_D, "kopen": BACK}[kind]
             end = state
             break
-        if kind == "line" and m.end() == len(text):
-            end = LINE
+        if kind in ("line", "pre") and m.end() == len(text):
+            end = LINE if kind == "line" else DIRECTIVE
         out.append(letter(m))
     return end, reduce(head + "".join(out), language)
 
@@ -218,7 +219,7 @@ def summary(text: str, language: str, first: bool) -> dict[str, tuple[str, str]]
 def valid(whole: dict[str, tuple[str, str]], language: str) -> bool:
     """Whether a file with this map, read from code, is syntactically valid."""
     end, residue = whole[CODE]
-    return end in (CODE, LINE) and "!" not in residue and not re.search(r"[()\[\]{}]", residue) and _whole(language, residue)
+    return end in (CODE, LINE, DIRECTIVE) and "!" not in residue and not re.search(r"[()\[\]{}]", residue) and _whole(language, residue)
 
 
 @functools.lru_cache(maxsize=200_000)
@@ -279,11 +280,11 @@ class Cpp(Braces):
     _type = rf"(?:[mt]|YY)*+(?:U?{_name}|t|p|Uw?B)(?:[mt])*+[xo]*+m*+"
     _declarator = rf"[xo]*+w(?:A)*+(?:=(?:{expression}|B)|B|P|:n)?"
     _decl = rf"T?{_type}(?:A|{_declarator}(?:,{_declarator})*+)?(?:=(?:{expression}))?;"
-    _tail = rf"(?:[mew]|eP)*+(?:\.{_type})?(?:=[nw])?"
+    _tail = rf"(?:[mew]|eP)*+(?:\.{_type})?(?:=[nwQu])?"
     _template = r"(?:H(?:<(?:[wmtUAn.,=~x]|<[^<>]*>)*>)?)?"
     _fn = rf"(?:AA)?{_template}{_type}[xo]*+(?:{_name}|w?M?)P{_tail}"
-    statement = rf"(?:;|B|Fm?P|L|WP;?|OP|D|SP|YB?|EP|K{_expr(binary='[ox<>]', prim=r'(?:w(?:.w)*|n|P)')}:|Q:|R(?:{expression}|B)?;|Z;|Gw;|MM?(?:{expression})?;|k[^;]*;|a:|{_fn}(?:;|B)|{_template}U\.?w(?:\.w)*m?(?::[m a]*{_name}(?:,[ma]*{_name})*)?B?;|{_decl}|{expression};|w:(?!:)|m?u?wP(?::wP(?:,w[PB])*)?(?:[me])*(?:=w)?(?:B|;))"
-    top = rf"(?:m?j(?:{_name})?B|k[^;]*;|mB|;|{_fn}(?:;|B)|{_template}m*U\.?w(?:\.w)*m?(?::[ma]*{_name}(?:,[ma]*{_name})*)?B?;|{_template}{_decl}|Uw?B;|{_template}u?{_name}P(?::wP(?:,w[PB])*)?[me]*(?:=w)?(?:B|;)?)"
+    statement = rf"(?:;|B|Fm?P|L|WP;?|OP|D|SP|YB?|EP|K{_expr(binary='[ox<>]', prim=r'(?:w(?:.w)*|n|P)')}:|Q:|R(?:{expression}|B)?;|Z;|Gw;|MM?(?:{expression})?;|k[^;]*;|a:|{_fn}(?:;|B)|{_template}U\.?w(?:\.w)*m?(?::[m a]*{_name}(?:,[ma]*{_name})*)?B?;|{_decl}|{expression};|w:(?!:)|m?u?wP(?::wP(?:,w[PB])*)?(?:[me])*(?:=[wnQu])?(?:B|;))"
+    top = rf"(?:m?j(?:{_name})?B|k[^;]*;|mB|;|{_fn}(?:;|B)|{_template}m*U\.?w(?:\.w)*m?(?::[ma]*{_name}(?:,[ma]*{_name})*)?B?;|{_template}{_decl}|Uw?B;|{_template}u?{_name}P(?::wP(?:,w[PB])*)?[me]*(?:=[wnQu])?(?:B|;)?)"
     group_round = rf"(?:(?:{_type}[xo]*+(?:w|P)?(?:A)*+(?:=(?:{expression}|B))?(?:,{_type}[xo]*+(?:w|P)?(?:A)*+(?:=(?:{expression}|B))?)*+(?:,~)?)|(?:{_decl}|{expression};|;)(?:{expression})?;(?:{expression}(?:,{expression})*+)?|{_type}[xo]*+(?:w|A):{expression}|~|(?:{expression}|{_type}[xo]*+|B)(?:,(?:{expression}|{_type}[xo]*+|B))*+|)"
     group_square = rf"(?:(?:=|x|{expression}|x?w)(?:,(?:{expression}|x?w))*+)?"
     group_curly = rf"(?:(?:\.w=)?(?:{expression}|B)(?:,(?:\.w=)?(?:{expression}|B))*+,?|w(?:=(?:{expression}))?(?:,w(?:=(?:{expression}))?)*+,?)?"
