@@ -33,14 +33,21 @@ class Generations:
         n = generation if generation is not None else (self.current() or {}).get("generation")
         if n is None:
             raise LookupError("nothing is published")
-        return self.spark.read.parquet(f"{self.root}/gen={n}/{table}")
+        return self.spark.read.parquet(f"{self.root}/gen={n}/{table}.parquet")
+
+    def folder(self, generation: int | None = None) -> str:
+        """The folder of a generation, whose tables can be read as a catalogue."""
+        n = generation if generation is not None else (self.current() or {}).get("generation")
+        if n is None:
+            raise LookupError("nothing is published")
+        return f"{self.root}/gen={n}"
 
     def publish(self, tables: dict[str, DataFrame], by: dict[str, list[str]] | None = None) -> int:
         """Writes all tables of the next generation, then makes it visible."""
         n = ((self.current() or {}).get("generation") or 0) + 1
         counts = {}
         for name, df in tables.items():
-            path = f"{self.root}/gen={n}/{name}"
+            path = f"{self.root}/gen={n}/{name}.parquet"
             keys = (by or {}).get(name)
             (df.repartition(*keys) if keys else df).write.mode("overwrite").parquet(path)
             counts[name] = self.spark.read.parquet(path).count()
