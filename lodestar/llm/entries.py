@@ -108,4 +108,15 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": r"""
             SELECT DISTINCT id AS chunk_id FROM chunks
             WHERE length(text) > 2000 OR len(regexp_extract_all(text, '[^ \t\n\r]+')) > 192""",
+        "p2_found": """
+            WITH v AS (SELECT DISTINCT ON (v.id) v.id, v.profile_id, list_transform(v.vector, lambda e: CAST(e AS DOUBLE)) AS x FROM vectors v JOIN (SELECT DISTINCT id, dimension FROM profiles) p ON p.id = v.profile_id
+              WHERE len(v.vector) = p.dimension AND len(list_filter(v.vector, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(v.vector, lambda e: e <> 0)) > 0)
+            SELECT a.id AS vec_a, b.id AS vec_b FROM v a JOIN v b ON a.profile_id = b.profile_id AND a.id < b.id WHERE list_cosine_similarity(a.x, b.x) >= 0.9""",
+        "p5_found": r"""
+            WITH RECURSIVE q AS (SELECT id, min(CASE WHEN trim(split) <> '' THEN lower(trim(split)) END) AS split FROM queries GROUP BY id),
+            hubs AS (SELECT DISTINCT id, 'f' || regexp_replace(lower(strip_accents(family)), '[^\p{L}\p{N}]', '', 'g') AS hub FROM queries WHERE regexp_matches(family, '[\p{L}\p{N}]')
+              UNION SELECT DISTINCT query_id, 'p' || regexp_replace(replace(path, '\', '/'), '^(\./+)+', '') FROM judgments WHERE path IS NOT NULL AND query_id IN (SELECT id FROM queries)),
+            edges AS (SELECT DISTINCT a.id AS a, b.id AS b FROM hubs a JOIN hubs b USING (hub)),
+            reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+            SELECT DISTINCT r.a AS query_id FROM reach r JOIN q x ON x.id = r.a JOIN q y ON y.id = r.b WHERE x.split <> y.split""",
     }
