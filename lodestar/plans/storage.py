@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: set[str] = set()
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The Parquet table ``table`` below ``sf_dir``; Catalyst prunes its columns and pushes filters into the scan."""
@@ -30,7 +34,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     file sizes give the planner true statistics for its choice of joins.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark)}/lodestar/{spark.sparkContext.applicationId}"
+    if own not in _own and own.startswith("file:"):  # other stores expire what applications leave
+        _own.add(own)
+        atexit.register(shutil.rmtree, own.removeprefix("file://"), ignore_errors=True)
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
