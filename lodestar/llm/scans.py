@@ -101,7 +101,7 @@ class _Reader:
         self.counts: np.ndarray = np.zeros(0, np.int64)
         self.sums = np.zeros((0, DIM), np.float32)
         self.random = np.zeros((0, DIM), np.int8)
-        self.where: dict[int, list[int]] = {}
+        self.where: dict[int, list[int] | None] = {}
         self.compounds: Counter = Counter()
         self.pages, self.common = 0, common
 
@@ -162,7 +162,11 @@ class _Reader:
                 seen.update(ids)
             stream += [gap, gap]
             for i in seen:
-                self.where.setdefault(i, []).append(self.pages - 1)
+                pages = self.where.setdefault(i, [])
+                if pages is not None:
+                    pages.append(self.pages - 1)
+                    if len(pages) > max(1000, self.common * self.pages):
+                        self.where[i] = None  # frequent words need no list; see misread_words
             self.ends.append((revision, ordinal, chunk, page))
         self._learn(np.array(stream, dtype=np.int64))
         yield self._batch(rows)
@@ -198,7 +202,7 @@ class _Reader:
             if not w or not self.counts[i]:
                 continue
             pages = self.where.get(i, [])
-            often = len(pages) > max(50, self.common * self.pages)
+            often = pages is None or len(pages) > max(50, self.common * self.pages)
             rows.append(("V", *none, None, w, None, int(self.counts[i]), often, None, None, None, self.sums[i].tolist()))
             if not often and len(w) > 2:
                 rows += [("W", *self.ends[p], None, w, None, None, None, None, None, None, None) for p in pages]
@@ -227,7 +231,8 @@ def scan(pages: DataFrame) -> DataFrame:
         reader = _Reader()
         reader.ends = []
         for batch in batches:
-            yield from reader.read(batch)
+            for first in range(0, batch.num_rows, 1000):  # bounds the arrays of one step
+                yield from reader.read(batch.slice(first, 1000))
         yield from reader.rest()
 
     return written(pages.select("revision_id", "ordinal", "chunk_id", "page", "text").mapInArrow(run, SCAN), "scan")
