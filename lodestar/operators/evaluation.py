@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,9 +24,10 @@ def metrics(results: DataFrame, judgments: DataFrame, queries: DataFrame, k: int
     hit = F.col("grade") == relevant
     gain = (F.pow(F.lit(2.0), F.coalesce("grade", F.lit(0))) - 1) / F.log2(F.col("rank") + 1.0)
     got = head.groupBy("query_id").agg(F.count_if(hit).alias("hits"), F.min(F.when(hit, F.col("rank"))).alias("first"), F.sum(gain).alias("dcg"))
-    best = graded.groupBy("query_id").agg(F.count_if(hit).alias("relevant"), F.slice(F.sort_array(F.collect_list("grade"), False), 1, k).alias("g"))
-    ideal = F.aggregate(F.transform("g", lambda g, i: (F.pow(F.lit(2.0), g) - 1) / F.log2(i + 2.0)), F.lit(0.0), lambda s, x: s + x)
-    best = best.select("query_id", "relevant", ideal.alias("idcg"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"), "path"))
+    ideal = F.sum((F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col("_n") + 1.0))
+    ideal = graded.withColumn("_n", place).where(F.col("_n") <= k).groupBy("query_id").agg(ideal.alias("idcg"))
+    best = graded.groupBy("query_id").agg(F.count_if(hit).alias("relevant")).join(ideal, "query_id", "left")
     out = queries.select("query_id").distinct().join(got, "query_id", "left").join(best, "query_id", "left").na.fill({"hits": 0, "relevant": 0, "dcg": 0.0, "idcg": 0.0})
     return out.select(
         "query_id",

@@ -29,18 +29,17 @@ def one_per_content(results: DataFrame, key: str = "query_id") -> DataFrame:
     return results.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def aliases(live: DataFrame) -> DataFrame:
-    """``(file_id, alias_id)``: other live files of the same content. Contents held once are left out before the join."""
-    many = live.groupBy("sha256").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("file_id")).alias("ids")).where("n > 1 and sha256 is not null")
-    return many.select(F.explode("ids").alias("file_id"), "ids").select("file_id", F.explode(F.array_remove(F.col("ids"), F.col("file_id"))).alias("alias_id"))
-
-
 def content_classes(live: DataFrame) -> DataFrame:
     """``(file_id, class_id, copies)``: files of equal content share the lowest id as their class; copies are not spread into pairs."""
-    lowest = live.groupBy("sha256").agg(F.min("file_id").alias("class_id"), F.count("*").alias("copies"))
+    lowest = live.where("sha256 is not null").groupBy("sha256").agg(F.min("file_id").alias("class_id"), F.count("*").alias("copies"))
     return live.select("file_id", "sha256").join(lowest, "sha256").select("file_id", "class_id", "copies")
 
 
+def aliases(live: DataFrame) -> DataFrame:
+    """``(file_id, class_id, copies)`` of the files whose content is held more than once: the aliases of a file are the members of its class."""
+    return content_classes(live).where("copies > 1")
+
+
 def evidence(hits: DataFrame, n: int = 3, key: str = "query_id") -> DataFrame:
     """The first ``n`` hits of each file, in rank order, equal texts once unless the earlier hit is a picture.
 

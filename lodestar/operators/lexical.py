@@ -80,9 +80,10 @@ def classes(terms: DataFrame, scopes: DataFrame | None = None, key: str = "query
     """
     sets = terms.groupBy(key).agg(F.sort_array(F.collect_set("term")).alias("_ts"))
     sets = sets.withColumn("scope", F.lit(None).cast("string")) if scopes is None else sets.join(scopes.select(key, "scope"), key)
-    lowest = sets.groupBy("_ts", "scope").agg(F.min(key).alias("class_id"), F.collect_list(key).alias("_ids"))
-    lowest = written(lowest, "question-classes")
-    members = lowest.select("class_id", "scope", F.explode("_ids").alias(key))
+    sets = written(sets, "question-sets")
+    lowest = sets.groupBy("_ts", "scope").agg(F.min(key).alias("class_id"))
+    same = lowest.withColumnRenamed("_ts", "_t").withColumnRenamed("scope", "_s")
+    members = sets.join(same, (F.col("_ts") == F.col("_t")) & F.col("scope").eqNullSafe(F.col("_s"))).select("class_id", "scope", key)
     return members, lowest.select(F.col("class_id").alias(key), "scope", F.explode("_ts").alias("term"))
 
 

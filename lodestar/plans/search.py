@@ -66,7 +66,8 @@ def hybrid(index: Index, queries: DataFrame, settings: Settings | None = None) -
     """
     s = settings or Settings()
     # equal texts are asked once and their answers handed to each of the queries
-    asked = written(queries.where("query is not null").groupBy("query").agg(F.min("query_id").alias("class_id"), F.collect_list("query_id").alias("ids")), "queries")
+    given = written(queries.where("query is not null").select("query_id", "query"), "queries")
+    asked = written(given.groupBy("query").agg(F.min("query_id").alias("class_id")), "questions")
     q = asked.select(F.col("class_id").alias("query_id"), "query")
     n = q.select("query_id", F.size(query_terms(F.col("query"))).alias("n"))
     words = written(two_terms(lexical_branch(index, q, s), q, index.chunks), "branch-terms")
@@ -85,5 +86,5 @@ def hybrid(index: Index, queries: DataFrame, settings: Settings | None = None) -
     shown = first.join(index.chunks.select("chunk_id", snippet(F.col("text"), s.snippet_chars).alias("snippet"), location_label(F.col("locator")).alias("label")), "chunk_id")
     shown = shown.groupBy("query_id", "file_id").agg(F.count("*").alias("evidence"), F.min_by("chunk_id", "place").alias("chunk_id"), F.min_by("label", "place").alias("label"))
     found = kinds.join(shown, ["query_id", "file_id"]).withColumnRenamed("query_id", "class_id")
-    each = asked.select("class_id", F.explode("ids").alias("query_id"))
+    each = given.join(asked, "query").select("class_id", "query_id")
     return found.join(each, "class_id").select("query_id", "place", "file_id", "relative_path", "score", "match_kind", "evidence", "chunk_id", "label")

@@ -127,7 +127,7 @@ def _(spark, sf):
     return catalog.hydrate(own.where("kind = 'transcript'"), own).select("chunk_id", "kind", text.snippet(F.col("text")).alias("snippet"))
 
 
-@query("aliases", f"WITH {_LIVE} SELECT a.file_id, b.file_id AS alias_id FROM lf a JOIN lf b ON a.sha256 = b.sha256 AND a.file_id <> b.file_id")
+@query("aliases", f"WITH {_LIVE}, c AS (SELECT file_id, min(file_id) OVER (PARTITION BY sha256) AS class_id, count(*) OVER (PARTITION BY sha256) AS copies FROM lf WHERE sha256 IS NOT NULL) SELECT * FROM c WHERE copies > 1")
 def _(spark, sf):
     return fusion.aliases(_live(spark, sf))
 
