@@ -13,6 +13,17 @@ def clamp_segments(segments: DataFrame, start: str, end: str, duration: Column)
     return segments.withColumn(start, a).withColumn(end, b).where((F.col(end) > F.col(start)) & F.col("text").rlike(r"\S"))
 
 
+def clamp_to_recordings(chunks: DataFrame) -> DataFrame:
+    """The transcript chunks (see ``clamp_segments``), each cut to the length of its own recording.
+
+    ``chunks``: ``revision_id, kind, text, start_ms, end_ms``. No table holds the length of a recording: it is the largest ``end_ms`` of the
+    revision's passages and frames, as frames may end before the sound. Of a recording without any end nothing is cut.
+    """
+    length = chunks.where("kind in ('transcript', 'frame')").groupBy("revision_id").agg(F.max("end_ms").alias("_length"))
+    said = chunks.where("kind = 'transcript'").join(length, "revision_id", "left")
+    return clamp_segments(said, "start_ms", "end_ms", F.col("_length")).drop("_length")
+
+
 def covering_frames(points: DataFrame, frames: DataFrame, at: str = "start_ms") -> DataFrame:
     """For each passage the first frame of its revision that covers its start: an equi-join on time slots, then the exact test.
 

@@ -559,6 +559,12 @@ def _(spark, sf):
     return media.clamp_segments(c, "start_ms", "end_ms", F.lit(30_000)).select(F.col("id").alias("chunk_id"), "start_ms", "end_ms")
 
 
+@query("transcript_clamp_recordings")  # transcript_clamp cuts all recordings at 30 s, as its SQL does
+def _(spark, sf):
+    c = catalog.once(load(spark, sf, "chunks").where("kind in ('transcript', 'frame')").select("id", "revision_id", "kind", "text", F.col("locator.start_ms").alias("start_ms"), F.col("locator.end_ms").alias("end_ms")))
+    return media.clamp_to_recordings(c).select(F.col("id").alias("chunk_id"), "start_ms", "end_ms")
+
+
 @query("transcript_stab_join", """WITH ck AS (SELECT DISTINCT ON (id) id, revision_id, ordinal, kind, locator.start_ms AS a, locator.end_ms AS b FROM chunks),
    h AS (SELECT t.id, f.id AS frame_id, row_number() OVER (PARTITION BY t.id ORDER BY f.ordinal, f.id) AS n FROM ck t JOIN ck f ON f.revision_id = t.revision_id AND f.a <= t.a AND t.a < f.b WHERE t.kind = 'transcript' AND f.kind = 'frame')
    SELECT t.id AS chunk_id, coalesce(h.frame_id, -1) AS frame_id FROM ck t LEFT JOIN h ON h.id = t.id AND n = 1 WHERE t.kind = 'transcript'""")
