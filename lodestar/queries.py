@@ -127,6 +127,13 @@ def _(spark, sf):
     return catalog.hydrate(own.where("kind = 'transcript'"), own).select("chunk_id", "kind", text.snippet(F.col("text")).alias("snippet"))
 
 
+@query("hydrate_all")  # hydrate_candidates hydrates transcripts only, as its SQL does
+def _(spark, sf):
+    chunks, live = load(spark, sf, "chunks"), _live(spark, sf)
+    own = catalog.live_chunks(chunks, live, ("kind", "text"))
+    return catalog.hydrate(catalog.live_chunks(chunks, live, ()), own).select("chunk_id", "kind", text.snippet(F.col("text")).alias("snippet"))
+
+
 @query("aliases", f"WITH {_LIVE}, c AS (SELECT file_id, min(file_id) OVER (PARTITION BY sha256) AS class_id, count(*) OVER (PARTITION BY sha256) AS copies FROM lf WHERE sha256 IS NOT NULL) SELECT * FROM c WHERE copies > 1")
 def _(spark, sf):
     return fusion.aliases(_live(spark, sf))

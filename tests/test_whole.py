@@ -37,3 +37,18 @@ def test_transcripts_of_long_recordings(spark, tmp_path):
     ]
     got = run(spark, tmp_path, "transcript_clamp_recordings", chunks=spark.createDataFrame(rows, CHUNK)).collect()
     assert sorted(map(tuple, got)) == [(1, 0, 20_000), (2, 20_000, 40_000), (3, 3_600_000, 3_601_000), (6, 1000, 2000), (8, 90_000, 91_000)]
+
+
+def test_hydrates_every_kind(spark, tmp_path):
+    kinds = ["text", "code", "ocr", "image", "frame", "transcript"]
+    rows = [chunk(i, 7, i, k, k * 400) for i, k in enumerate(kinds)] + [chunk(0, 7, 0, "text", "text" * 400), chunk(50, 7, 9, "image", None), chunk(60, 8, 0, "text", "not live")]
+    got = run(
+        spark,
+        tmp_path,
+        "hydrate_all",
+        chunks=spark.createDataFrame(rows, CHUNK),
+        roots=spark.createDataFrame([(1, "/r", True, "ready")], "id long, path string, enabled boolean, status string"),
+        revisions=spark.createDataFrame([(7, 3, "s", "p"), (8, 3, "t", "p")], "id long, file_id long, sha256 string, pipeline_hash string"),
+        files=spark.createDataFrame([(3, 1, "a", "a", ".x", "text", 0, "ready", 7)], "id long, root_id long, relative_path string, name string, extension string, modality string, mtime_ns long, status string, active_revision_id long"),
+    )
+    assert {tuple(r) for r in got.collect()} == {(i, k, (k * 400)[:1400]) for i, k in enumerate(kinds)} | {(50, "image", None)} and got.count() == 7
