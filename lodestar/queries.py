@@ -187,9 +187,8 @@ def _(spark, sf):
 
 @query("extraction_notes", "SELECT DISTINCT w AS warning, replace(w, '_', ' ') AS note FROM (SELECT unnest(warnings) AS w FROM revisions) WHERE w NOT LIKE 'slide%' AND w NOT LIKE 'presentation%' AND w NOT LIKE 'transcription%' AND w NOT IN ('no_audio_stream', 'frame_limit_reached')")
 def _(spark, sf):
-    w = load(spark, sf, "revisions").select(F.explode("warnings").alias("warning")).distinct()
-    named = F.col("warning").rlike("^(slide|presentation|transcription)") | F.col("warning").isin("no_audio_stream", "frame_limit_reached")
-    return w.where(~named).select("warning", text.extraction_note(F.col("warning")).alias("note"))
+    w = load(spark, sf, "revisions").select(F.explode("warnings").alias("warning")).where("warning is not null").distinct()
+    return w.select("warning", text.extraction_note(F.col("warning")).alias("note"))
 
 
 @query("content_digest", "SELECT doc_id, sha256(text) AS digest FROM documents")

@@ -52,3 +52,19 @@ def test_hydrates_every_kind(spark, tmp_path):
         files=spark.createDataFrame([(3, 1, "a", "a", ".x", "text", 0, "ready", 7)], "id long, root_id long, relative_path string, name string, extension string, modality string, mtime_ns long, status string, active_revision_id long"),
     )
     assert {tuple(r) for r in got.collect()} == {(i, k, (k * 400)[:1400]) for i, k in enumerate(kinds)} | {(50, "image", None)} and got.count() == 7
+
+
+def test_notes_of_named_warnings(spark, tmp_path):
+    warnings = ["page_skipped", "slide_3:OCR_TIMEOUT", "slide_4:IMAGE_UNREADABLE", "slide_5", "presentation_ocr_partial:12_of_40", "transcription_unavailable:x", "no_audio_stream", "frame_limit_reached"]
+    rows = [(1, warnings[:4]), (2, warnings[3:]), (2, warnings[3:]), (3, []), (4, None), (5, [None])]
+    got = {r.warning: r.note for r in run(spark, tmp_path, "extraction_notes", revisions=spark.createDataFrame(rows, "id long, warnings array<string>")).collect()}
+    assert got == {
+        "page_skipped": "page skipped",
+        "slide_3:OCR_TIMEOUT": "Reading pictures of slide 3 took too long.",
+        "slide_4:IMAGE_UNREADABLE": "A picture on slide 4 could not be read.",
+        "slide_5": "slide 5",
+        "presentation_ocr_partial:12_of_40": "Slide text can be searched; 12 image placements were not read.",
+        "transcription_unavailable:x": "Frames of this video can be searched, its sound could not be transcribed.",
+        "no_audio_stream": "This video has no sound; its frames can be searched.",
+        "frame_limit_reached": "The limit of frames was reached; later pictures may be missing.",
+    }
