@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    return split_items.split_chunks(load(spark, sf, "chunks")).drop("locator").withColumn("chars", F.length("text"))
+    return split_items.split_chunks(load(spark, sf, "chunks")).withColumn("chars", F.length("text"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -155,14 +155,16 @@ def split_chunks(chunks: DataFrame, max_tokens: int = 192, max_chars: int = 2000
     Rows delivered twice (same ``id``) count once. ``chunk_id`` names the chunk a piece comes from, ``pieces`` how many it
     has. Chunks without ``locator`` keep none; a null ``char_start`` or ``line_start`` stays null. A chunk within the limits
     comes out as it is, with its new ``ordinal``. Ordinals run on over blocks of 1,024 ordinals, so that no revision, however
-    large, is handled by one task.
+    large, is handled by one task. A row without ``id`` gets no ``ordinal``.
     """
     once = chunks.select("id", "revision_id", "ordinal", "kind", "text", "locator").dropDuplicates(["id"])
     pieces = split_items(once, "id", "text", max_tokens, max_chars, overlap)
     counts = pieces.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("_pieces"))
-    sized = once.join(counts, once["id"] == counts["_id"], "left").drop("_id").withColumn("pieces", F.coalesce(F.col("_pieces"), F.lit(1))).drop("_pieces")
-    placed = running_sum(sized, ["revision_id"], F.floor(F.col("ordinal") / 1024), ["ordinal", "id"], "pieces", "_base")
-    placed = placed.join(pieces.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
+    # only ids and ordinals travel to the numbering; the rows themselves stay where they were made single
+    slim = once.select(F.col("id").alias("_key"), "revision_id", "ordinal")
+    sized = slim.join(counts, F.col("_key") == F.col("_id"), "left").drop("_id").withColumn("pieces", F.coalesce(F.col("_pieces"), F.lit(1))).drop("_pieces")
+    base = running_sum(sized, ["revision_id"], F.floor(F.col("ordinal") / 1024), ["ordinal", "_key"], "pieces", "_base").select("_key", "pieces", "_base")
+    placed = once.join(base, F.col("id") == F.col("_key"), "left").join(pieces.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
     loc = F.col("locator")
     moved = loc
     for name, value in (

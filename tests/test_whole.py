@@ -68,3 +68,15 @@ def test_notes_of_named_warnings(spark, tmp_path):
         "no_audio_stream": "This video has no sound; its frames can be searched.",
         "frame_limit_reached": "The limit of frames was reached; later pictures may be missing.",
     }
+
+
+def test_pieces_keep_their_places(spark, tmp_path):
+    long = "\n".join("This is a sentence of some words." for _ in range(60))
+    rows = [chunk(1, 7, 0, "text", "short", char_start=0, char_end=5, line_start=1, line_end=1, page=4), chunk(2, 7, 1, "text", long, char_start=100, char_end=100 + len(long), line_start=5, line_end=64, page=5), (3, 7, 2, "image", None, None, None, None, None)]
+    got = run(spark, tmp_path, "p1_pieces", chunks=spark.createDataFrame(rows, CHUNK)).orderBy("ordinal").collect()
+    pieces = [r for r in got if r.chunk_id == 2]
+    assert len(pieces) > 1 and pieces[-1].locator.line_end == 64 and {r.locator.page for r in pieces} == {5}
+    for r in pieces:
+        a, b = r.locator.char_start - 100, r.locator.char_end - 100
+        assert long[a:b] == r.text and (r.locator.line_start, r.locator.line_end) == (5 + long[:a].count("\n"), 5 + long[:b].count("\n"))
+    assert got[0].locator.char_end == 5 and got[-1].locator is None
