@@ -87,6 +87,10 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix.mixture(load(spark, sf, "documents"), load(spark, sf, "source_targets"))[1]
 
 
+def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mix.mixture(load(spark, sf, "documents"), load(spark, sf, "source_targets"))[0]
+
+
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
     return quality.scored(written(quality.statistics(load(spark, sf, "documents"), load(spark, sf, "common_words")), "quality"))
 

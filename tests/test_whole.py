@@ -80,3 +80,13 @@ def test_pieces_keep_their_places(spark, tmp_path):
         a, b = r.locator.char_start - 100, r.locator.char_end - 100
         assert long[a:b] == r.text and (r.locator.line_start, r.locator.line_end) == (5 + long[:a].count("\n"), 5 + long[:b].count("\n"))
     assert got[0].locator.char_end == 5 and got[-1].locator is None
+
+
+def test_mixture_itself_comes_out(spark, tmp_path):
+    documents = spark.createDataFrame([(i, "word " * (5 + i % 7), "en", "a" if i % 3 else " B", "text") for i in range(300)], "doc_id long, text string, lang string, source string, modality string")
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.7, 4)], "source string, target_share double, max_repeats int")
+    got = run(spark, tmp_path, "p8_mixture", documents=documents, source_targets=targets).collect()
+    shares = {r.source: r.mixed_tokens for r in entry.queries()["p8_shares"](spark, str(tmp_path)).collect()}
+    assert len({r.doc_id for r in got}) == len(got) and {r.source: 0 for r in got} == {"a": 0, "b": 0}
+    assert {s: sum(r.tokens * r.copies for r in got if r.source == s) for s in shares} == shares
+    assert all(r.source == ("a" if r.doc_id % 3 else "b") and 1 <= r.copies <= (1 if r.source == "a" else 4) for r in got)
