@@ -45,8 +45,7 @@ def p3_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    found = functions.pairs(functions.symbols(load(spark, sf, "chunks")))
-    return found.select("revision_id", "func_name").distinct()
+    return functions.documented(functions.symbols(load(spark, sf, "chunks")))
 
 
 def p4_pairs(spark: SparkSession, sf: str) -> DataFrame:

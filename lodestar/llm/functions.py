@@ -388,12 +388,18 @@ def symbols(chunks: DataFrame, per_block: int = 256, before: int = 4) -> DataFra
     return blocks(code, ["ext"], per_block, before, ghosts=True).select("revision_id", "ext", "pieces").mapInArrow(run, SYMBOLS)
 
 
+def documented(table: DataFrame) -> DataFrame:
+    """``(revision_id, func_name)``, each once: functions documented where they stand, with a body or declared without one."""
+    return table.where("says").select("revision_id", F.col("name").alias("func_name")).distinct()
+
+
 def pairs(table: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """``(revision_id, func_name, qualified, signature, doc, code, own)``: pairs of code and documentation.
 
     A definition without documentation takes that of a documented declaration of the same root, qualified name, signature and
-    language (``own`` is false then); of several the one of the lowest revision. ``roots`` maps ``revision_id`` to
-    ``root_id``; without it nothing is joined. Pairs whose documentation says nothing are left out; a null doc is none.
+    language (``own`` is false then); of several the one of the lowest revision. A documented declaration that no definition of its
+    root meets is a pair of its own. ``roots`` maps ``revision_id`` to ``root_id``; without it nothing is joined and declarations
+    are left out. Pairs whose documentation says nothing are left out; a null doc is none.
     """
     shown = ["revision_id", F.col("name").alias("func_name"), "qualified", "signature", "doc", "code"]
     own = table.where("says and kind = 'definition'").select(*shown, F.lit(True).alias("own"))
@@ -404,4 +410,7 @@ def pairs(table: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     declared = placed.where("says and kind = 'declaration'")
     first = declared.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("revision_id", "doc"))).where("_r = 1").select(*key, F.col("doc").alias("_doc"))
     lent = placed.where("kind = 'definition' and doc is null").join(first, key).withColumn("doc", F.col("_doc")).select(*shown, F.lit(False).alias("own"))
-    return own.unionByName(lent)
+    met = placed.where("kind = 'definition'").select(*key).distinct()
+    alone = table.where("says and kind = 'declaration'").join(roots.select("revision_id", "root_id").dropDuplicates(["revision_id"]), "revision_id", "left")
+    alone = alone.join(met, key, "left_anti").select(*shown, F.lit(True).alias("own"))
+    return own.unionByName(lent).unionByName(alone)

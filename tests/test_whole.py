@@ -90,3 +90,24 @@ def test_mixture_itself_comes_out(spark, tmp_path):
     assert len({r.doc_id for r in got}) == len(got) and {r.source: 0 for r in got} == {"a": 0, "b": 0}
     assert {s: sum(r.tokens * r.copies for r in got if r.source == s) for s in shares} == shares
     assert all(r.source == ("a" if r.doc_id % 3 else "b") and 1 <= r.copies <= (1 if r.source == "a" else 4) for r in got)
+
+
+def test_documented_functions_without_a_body(spark, tmp_path):
+    files = [
+        (1, "c", "#include <a.h>\n/** Sorts all the pages by number. */\nint sort_all(int a, char *b);\n/** Gives the number of open pages. */\nint open_pages(void);\nint plain(int a);\n"),
+        (2, "c", "#include <a.h>\nint sort_all(int x, char *y)\n{\n  return 1;\n}\n"),
+        (3, "java", "package a;\npublic interface A {\n  /** Counts all the rows of a table. */\n  int rows(String t);\n}\n"),
+        (4, "rs", "pub trait A {\n    /// Closes every page that was read.\n    fn close_all(&self, a: i64) -> i64;\n}\n"),
+    ]
+    rows = [(i, i, 0, "code", t, None, locator(char_start=0, line_start=1, language=x), None, None) for i, x, t in files]
+    got = run(
+        spark,
+        tmp_path,
+        "p4_found",
+        chunks=spark.createDataFrame(rows, CHUNK),
+        revisions=spark.createDataFrame([(i, i) for i in (1, 2, 3)], "id long, file_id long"),
+        files=spark.createDataFrame([(i, 9) for i in (1, 2, 3)], "id long, root_id long"),
+    )
+    assert sorted(map(tuple, got.collect())) == [(1, "open_pages"), (1, "sort_all"), (3, "rows"), (4, "close_all")]
+    pairs = entry.queries()["p4_pairs"](spark, str(tmp_path)).collect()
+    assert sorted((r.revision_id, r.func_name, r.own) for r in pairs) == [(1, "open_pages", True), (2, "sort_all", False), (3, "rows", True), (4, "close_all", True)]
