@@ -81,6 +81,35 @@ def _split_word(token: str) -> str:
     return token.rstrip("!|") if len(token.rstrip("!|")) > 1 else token.strip("!|")
 
 
+def line_words(lines: list[str]) -> Iterator[tuple[list[str], list[str], tuple[str, str, str] | None, re.Match | None]]:
+    """Of each line of a page its tokens, the words that stand whole in it, the word cut at the line before that ends in it
+    (both halves and the mark), and the cut at its own end."""
+    carry = None
+    for k, line in enumerate(lines):
+        tokens = line.split()
+        low = [_split_word(w).lower() for t in tokens for w in WORD.findall(t)]
+        cut = None
+        if carry is not None:
+            head = _LEAD.match(tokens[0])
+            b = _split_word(head[0].lower()) if head else None
+            if b:
+                cut = (carry[0], b, carry[1])
+                low = low[1:]
+        m = _BREAK.search(tokens[-1])
+        carry = (m[1].lower(), tokens[-1][-1]) if m and k + 1 < len(lines) else None
+        yield tokens, low[:-1] if m else low, cut, m
+
+
+def page_words(text: str | None) -> set[str]:
+    """The words of a page, as ``_Reader`` counts them."""
+    out: set[str] = set()
+    for _, low, cut, _ in line_words([x for x in (text or "").split("\n") if x.strip()]):
+        out.update(low)
+        if cut:
+            out.add(cut[0] + cut[1])
+    return out
+
+
 def _vector(word: str) -> np.ndarray:
     state = np.random.default_rng(zlib.crc32(word.encode()))
     return state.integers(0, 2, DIM, dtype=np.int8) * 2 - 1
@@ -128,35 +157,21 @@ class _Reader:
                 if e.title or e.number is not None:
                     rows.append(("E", *at, k, e.title, None, e.number, e.alone, e.decorated, None, n, None))
             seen: set[int] = set()
-            carry = None
-            for k, line in enumerate(lines):
-                tokens = line.split()
-                parts = [_split_word(w) for t in tokens for w in WORD.findall(t)]
+            for k, (tokens, low, cut, m) in enumerate(line_words(lines)):
                 for t in tokens:
                     if "-" in t[1:-1]:
                         inner = [w.lower() for w in t.strip(".,;:!?()").split("-") if w]
                         self.compounds.update(f"{a}-{b}" for a, b in zip(inner, inner[1:]))
-                low = [w.lower() for w in parts]
                 head = _LEAD.match(tokens[0])
                 if k < EDGE:
                     rows.append(("F", *at, k, head[0].lower() if head else None, None, None, None, None, None, n, None))
-                if carry is not None:  # the second half of a word cut at the line before
-                    a, h = carry
-                    b = _split_word(head[0].lower()) if head else None
-                    if b:
-                        rows.append(("H", *at, k, a, b, None, None, None, h, n, None))
-                        low = low[1:]
-                        joined = self.id(a + b)
-                        stream.append(joined)
-                        seen.add(joined)
-                    carry = None
-                m = _BREAK.search(tokens[-1])
+                if cut:  # the second half of a word cut at the line before
+                    rows.append(("H", *at, k, cut[0], cut[1], None, None, None, cut[2], n, None))
+                    joined = self.id(cut[0] + cut[1])
+                    stream.append(joined)
+                    seen.add(joined)
                 if m and k >= n - EDGE:
                     rows.append(("L", *at, n - 1 - k, m[1].lower(), None, None, None, None, tokens[-1][-1], n, None))
-                if m and k + 1 < n:
-                    carry = (m[1].lower(), tokens[-1][-1])
-                if m:
-                    low = low[:-1]
                 ids = [self.id(w) for w in low]
                 stream += ids
                 seen.update(ids)
@@ -384,7 +399,18 @@ def misread_words(scanned: DataFrame, fixes: DataFrame, pages: DataFrame) -> Dat
     listed = written(listed, "scan-often")
     if listed.isEmpty():
         return found
-    words = pages.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\w@!|]*\w[\w@!|]*)"), F.lit(1)))).alias("wrong"))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1000):
+                at, words = [], []
+                for chunk, text in zip(*(c.to_pylist() for c in batch.slice(first, 1000).columns)):
+                    own = page_words(text)
+                    at += [chunk] * len(own)
+                    words += own
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words, pa.string())], names=["chunk_id", "wrong"])
+
+    words = pages.select("chunk_id", "text").mapInArrow(again, "chunk_id long, wrong string")
     return found.unionByName(words.join(listed, "wrong").select("chunk_id", "wrong", "right")).distinct()
 
 

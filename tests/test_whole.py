@@ -111,3 +111,12 @@ def test_documented_functions_without_a_body(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(1, "open_pages"), (1, "sort_all"), (3, "rows"), (4, "close_all")]
     pairs = entry.queries()["p4_pairs"](spark, str(tmp_path)).collect()
     assert sorted((r.revision_id, r.func_name, r.own) for r in pairs) == [(1, "open_pages", True), (2, "sort_all", False), (3, "rows", True), (4, "close_all", True)]
+
+
+def test_misreadings_on_many_pages(spark, tmp_path):
+    common = "\n".join(["the priority of a straße is known to the table"] * 10)
+    wrong = ["one 5traße is here", "a pri-\n0rity is here", "some kn0wn! is here"]
+    rows = [chunk(i, 1, i, "ocr", f"{common}\n{wrong[i % 3]}\nand so it goes on from here", page=i + 1) for i in range(180)] + [chunk(500, 1, 500, "ocr", common, page=501)]
+    df = spark.createDataFrame(rows, CHUNK).coalesce(1)  # one task: each misreading stands on 60 of its 181 pages
+    got = run(spark, tmp_path, "p3_found", chunks=df).where("defect = 'misread'").collect()
+    assert {r.chunk_id for r in got} == set(range(180))
