@@ -109,6 +109,11 @@ def test_similar(spark):
     measured = similar.recall(near, df, prof).collect()
     assert [r.profile_id for r in measured] == ["p"] and measured[0].recall > 0.9
     assert similar.most_similar(df.limit(0), prof).count() == 0
+    # on several levels, with parts of parts: every vector still is indexed and asked
+    deep = similar.most_similar(df, prof, per_part=50, fan=4, cover=0.97).cache()
+    assert similar._levels(1500, 50, 4) == 3 and deep.select("id").distinct().count() == 1500 and deep.where("id > 9000 or id = neighbour").count() == 0
+    assert deep.groupBy("id", "neighbour").count().where("count > 1").count() == 0
+    assert similar.recall(deep, df, prof).first().recall > 0.85
     assert np.array_equal(np.sort(similar.top(s[1:6], 7)), np.sort(np.argsort(-s[1:6], axis=1)[:, :7]))
 
 
