@@ -90,16 +90,18 @@ def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return mix.mixture(load(spark, sf, "documents"), load(spark, sf, "source_targets"))[0]
 
 
-def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.scored(written(quality.statistics(load(spark, sf, "documents"), load(spark, sf, "common_words")), "quality"))
-
-
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.forms(_scores(spark, sf)).where("form <> 'prose'").select("doc_id", "form").distinct()
+    return p9_statistics(spark, sf).where("form <> 'prose'").select("doc_id", "form").distinct()
 
 
 def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.forms(_scores(spark, sf))
+    return quality.assess(load(spark, sf, "documents"), load(spark, sf, "common_words"))
+
+
+def p9_measures(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics that are no quantiles, for comparison with SQL."""
+    stats = quality.statistics(load(spark, sf, "documents"), quality.word_lists(load(spark, sf, "common_words")))
+    return stats.select("doc_id", "language", "words", *(F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "mean_line_words", "variety", "letter_ratio")))
 
 
 def queries() -> dict[str, Query]:
@@ -108,6 +110,22 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p9_measures": r"""
+            WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lower(trim(lang)) AS declared FROM documents),
+            a AS (SELECT doc_id, t, declared, regexp_replace(t, '[\s\p{Z}]+', '', 'g') AS solid, regexp_extract_all(lower(t), '\p{L}+(?:[''’]\p{L}+)?') AS ws,
+                list_filter(regexp_split_to_array(t, '\r\n|[\n\r\x0b\x0c]'), lambda x: regexp_matches(x, '[^\s\p{Z}]')) AS ls FROM d),
+            c AS (SELECT DISTINCT lower(lang) AS lang, lower(word) AS word FROM common_words WHERE lang IS NOT NULL AND word IS NOT NULL),
+            h AS (SELECT doc_id, lang, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM a) u JOIN c ON c.word = u.w GROUP BY ALL),
+            b AS (SELECT doc_id, arg_min(lang, struct_pack(a := -n, b := lang)) AS lang, max(n) AS n FROM h GROUP BY doc_id)
+            SELECT a.doc_id, coalesce(b.lang, CASE WHEN declared IN (SELECT lang FROM c) THEN declared END, 'und') AS language, CAST(len(ws) AS BIGINT) AS words,
+              round(CASE WHEN len(ws) > 0 THEN length(array_to_string(ws, '')) / len(ws) ELSE 0 END, 6) AS mean_word_length,
+              round(CASE WHEN length(solid) > 0 THEN length(regexp_replace(solid, '[\p{L}\p{N}]+', '', 'g')) / length(solid) ELSE 0 END, 6) AS symbol_ratio,
+              round(CASE WHEN len(ls) > 0 THEN len(list_filter(ls, lambda x: regexp_matches(x, '[.!?…;:。][)\]"''”’» \t]*$'))) / len(ls) ELSE 0 END, 6) AS punctuated_lines,
+              round(CASE WHEN len(ws) > 0 THEN coalesce(b.n, 0) / len(ws) ELSE 0 END, 6) AS common_words,
+              round(CASE WHEN len(ls) > 0 THEN len(ws) / len(ls) ELSE 0 END, 6) AS mean_line_words,
+              round(CASE WHEN len(ws) > 1 THEN ln(len(list_distinct(ws))) / ln(len(ws)) ELSE 1 END, 6) AS variety,
+              round(CASE WHEN length(solid) > 0 THEN length(regexp_replace(solid, '\P{L}+', '', 'g')) / length(solid) ELSE 0 END, 6) AS letter_ratio
+            FROM a LEFT JOIN b USING (doc_id)""",
         "p1_found": r"""
             SELECT DISTINCT id AS chunk_id FROM chunks
             WHERE length(text) > 2000 OR len(regexp_extract_all(text, '[^ \t\n\r]+')) > 192""",

@@ -1,7 +1,8 @@
 """Problem 9: per-document text quality statistics.
 
-Method: mergeable quantile sketches (KLL) of each statistic per language turn values into robust z-scores; documents in a
-tail of a distribution are flagged, and what form a flagged document has is told from the kinds of its lines.
+Method: mergeable quantile sketches (KLL) of each statistic per language turn values into robust z-scores, and documents in a
+tail of a distribution are flagged. What form a flagged document has is told block by block: the same sketches say how
+few common words and letters a block may have, for its size, before it is junk; entries and rows are told by their lines.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.plans.storage import written
+
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 MARKED = re.compile(r"^\s*(?:[-*+•◦‣▪–—]|\[[ xX]?\]|\(?(?:\d{1,4}|[A-Za-z]|[ivxlc]{1,6})[.)]|\d{1,3}(?:\.\d{1,3})+\.?)\s+(?=\S)")
 HEADING = re.compile(r"^\s*#{1,6}\s+\S|^\s*(?:={3,}|-{3,}|\*{3,})\s*$")
@@ -22,15 +25,15 @@ SENTENCE_END = re.compile(r"[.!?…;:。][)\]\"'”’»]*\s*$")
 RULE = re.compile(r"^[\s|+:=-]+$")
 GAP = re.compile(r"\S(?:\t+| {2,})(?=\S)")
 HEX_ROW = re.compile(r"^\s*[0-9a-fA-F]{4,16}:?(?:\s+[0-9a-fA-F]{2,8}){4,}(?:\s{2,}.*|\s+\|.*\|)?\s*$")
-STRANGE = re.compile(r"""[^\w\s.,;:!?'"()\-–—…/\[\]`]|_""")
-SYMBOL = re.compile(r"[^\w\s]|_")
-PROSE, LIST, TABLE, JUNK, PLAIN, NEUTRAL = "prose", "list", "table", "junk", "plain", "neutral"
+PROSE, LIST, TABLE, JUNK, NEUTRAL = "prose", "list", "table", "junk", "neutral"
 #: The statistics that sketches are built of.
-STATISTICS = ("mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "marked_lines", "cell_lines", "mean_line_words", "repeated", "letter_ratio")
+STATISTICS = ("mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "marked_lines", "line_separators", "mean_line_words", "variety", "letter_ratio")
+#: Robust z-scores beyond which a document is looked at and a block is junk.
+TAIL, FENCE = 3.5, 3.5
 
 
 def _repeated(words: list[str], width: int = 8) -> float:
-    """Share of the windows of ``width`` words (all words, if fewer than twice as many) that occur before."""
+    """Share of the windows of ``width`` words that occur before; fewer than twice as many words: 0."""
     n = len(words) - width + 1
     if n < width:
         return 0.0
@@ -82,73 +85,67 @@ def _rows(lines: list[str]) -> list[bool]:
     return out
 
 
-def _is_sentence(text: str, common: frozenset) -> bool:
+def _off(value: float, n: int, limits: tuple[float, float] | None) -> float:
+    """How far a share over ``n`` items lies from its median, as a z-score of the language's distribution.
+
+    ``limits``: median and robust spread. Two standard errors of a share over so few items are granted before, so that short
+    blocks are not judged by chance. Without a distribution nothing is off.
+    """
+    if limits is None or not n:
+        return 0.0
+    median, spread = limits
+    chance = 2 * (max(median * (1 - median), 0.0) / n) ** 0.5
+    gap = value - median
+    gap = max(0.0, abs(gap) - chance) * (1 if gap > 0 else -1)
+    return gap / spread if spread > 0 else gap * float("inf") if gap else 0.0
+
+
+def _is_junk(text: str, common: frozenset, usual: dict[str, tuple[float, float] | None]) -> bool:
+    """Beyond FENCE in the language's distributions: too few common words, no words and too few letters, or one
+    phrase without end."""
     words = WORD.findall(text.lower())
-    return len(words) >= 5 and bool(SENTENCE_END.search(text)) and sum(w in common for w in words) >= 0.1 * len(words)
+    n = len(words)
+    if _repeated(words) > 0.6:
+        return True
+    if n >= 8 and _off(sum(w in common for w in words) / n, n, usual["common_words"]) < -FENCE:
+        return True
+    solid = len(text) - sum(map(str.isspace, text))
+    letters = sum(map(str.isalpha, text))
+    return letters < 0.5 * solid and _off(letters / max(solid, 1), solid, usual["letter_ratio"]) < -FENCE
 
 
-def _plain_block(lines: list[str], common: frozenset, least_common: float) -> str:
+def _plain_block(lines: list[str], common: frozenset, usual: dict) -> str:
     """What lines without marks or cells are, that stand together without a blank line."""
     text = " ".join(lines)
     words = WORD.findall(text.lower())
-    known = sum(w in common for w in words) / len(words) if words else 0.0
-    letters = sum(map(str.isalpha, text))
-    solid = len(text) - sum(map(str.isspace, text))
-    strange = len(STRANGE.findall(text))
-    if letters < 0.5 * solid or strange > 0.2 * solid or _repeated(words) > 0.6:
-        return JUNK
-    tokens = text.split()
-    if max(map(len, tokens), default=0) > 60 and sum(len(t) for t in tokens if len(t) > 40) > 0.5 * solid:
-        return JUNK
     if len(lines) > 1:
-        # a line ends where a sentence does, or because the next word has no room at the width set
+        # in prose a line ends where a sentence does, or because the next word has no room at the width set: entries end anywhere
         width = max(map(len, lines))
-        ends = sum(bool(SENTENCE_END.search(a)) or len(a.rstrip()) + 1 + len(b.split(None, 1)[0]) > width - 2 for a, b in zip(lines, lines[1:]))
-        listed = ends < 0.6 * (len(lines) - 1) and max(len(x.split()) for x in lines) <= 12
-    else:
-        listed = False
-    if listed and len(words) <= 8 * len(lines) and letters > 0.6 * solid and all(len(t) <= 40 for t in tokens):
-        return LIST
-    if len(words) >= 8 and known < least_common:
+        ends = sum(bool(SENTENCE_END.search(a)) or len(a.rstrip()) + 1 + len(b.split(None, 1)[0]) > width for a, b in zip(lines, lines[1:]))
+        short = max(len(x.split()) for x in lines) <= 12 and len(words) <= 8 * len(lines) and max(map(len, text.split())) <= 40
+        if ends < 0.8 * (len(lines) - 1) and short and sum(map(str.isalpha, text)) > 0.6 * sum(map(len, text.split())) and _repeated(words) <= 0.6:
+            return LIST
+    if _is_junk(text, common, usual):
         return JUNK
     return PROSE if len(words) >= 4 or SENTENCE_END.search(text) else NEUTRAL
 
 
-def measure(text: str | None, commons: dict[str, frozenset], declared: str | None, least_common: float = 0.15) -> tuple:
-    """``(language, words, *STATISTICS, prose, list, table, junk)``: the statistics of a text and its characters by kind.
+def kinds(text: str, common: frozenset, usual: dict) -> Counter:
+    """The characters of a text, blanks apart, by kind of the block they stand in.
 
-    The language is the one most of whose common words occur; with none, the declared one, else ``und``. A null or blank
-    text has zero everywhere.
+    Marked lines are entries, whatever they say; lines with the same separators are rows; what is left between blank lines is
+    judged as a block. A caption or heading goes with what follows it, the last with what stands before.
     """
-    text = text or ""
-    words = WORD.findall(text.lower())
-    counts = Counter(words)
-    best, hits = None, 0
-    for name in sorted(commons):
-        n = sum(counts[w] for w in commons[name])
-        if n > hits:
-            best, hits = name, n
-    language = best or (declared if declared in commons else "und")
-    common = commons.get(language, frozenset())
-    lines = [x for x in text.splitlines() if x.strip()]
-    if not lines:
-        return (language, 0, *([0.0] * len(STATISTICS)), 0, 0, 0, 0)
-    solid = len(text) - sum(map(str.isspace, text))
-    letters = sum(map(len, words))
-    symbols = len(SYMBOL.findall(text))
     every = text.splitlines()
-    rows = _rows(every)
-    chars = Counter()
+    found: list[tuple[str, int]] = []
     block: list[str] = []
-    kinds: list[tuple[str, int]] = []
 
     def close() -> None:
         if block:
-            kinds.append((_plain_block(block, common, least_common), sum(len("".join(x.split())) for x in block)))
+            found.append((_plain_block(block, common, usual), sum(len("".join(x.split())) for x in block)))
             block.clear()
 
-    marked = cells = 0
-    for line, row in zip(every, rows):
+    for line, row in zip(every, _rows(every)):
         size = len("".join(line.split()))
         if not size:
             close()
@@ -156,94 +153,149 @@ def measure(text: str | None, commons: dict[str, frozenset], declared: str | Non
         mark = MARKED.match(line)
         if row:
             close()
-            cells += 1
-            kinds.append((TABLE, size))
+            found.append((TABLE, size))
         elif HEADING.match(line):
             close()
-            kinds.append((NEUTRAL, size))
-        elif mark and any(c.isalpha() for c in line[mark.end() :]) and _plain_block([line[mark.end() :]], common, 0.0) != JUNK:
+            found.append((NEUTRAL, size))
+        elif mark and any(c.isalpha() for c in line[mark.end() :]) and not _is_junk(line[mark.end() :], common, usual):
             close()
-            marked += 1
-            kinds.append((PROSE if _is_sentence(line[mark.end() :], common) else LIST, size))
+            found.append((LIST, size))
         else:
             block.append(line)
     close()
-    # a caption or heading goes with what follows it, the last with what stands before
-    for i, (kind, size) in enumerate(kinds):
+    chars: Counter = Counter()
+    for i, (kind, size) in enumerate(found):
         if kind == NEUTRAL:
-            after = next((k for k, _ in kinds[i + 1 :] if k != NEUTRAL), None)
-            kind = after or next((k for k, _ in reversed(kinds[:i]) if k != NEUTRAL), PROSE)
+            after = next((k for k, _ in found[i + 1 :] if k != NEUTRAL), None)
+            kind = after or next((k for k, _ in reversed(found[:i]) if k != NEUTRAL), PROSE)
         chars[kind] += size
-    if _repeated(words) > 0.6 and len(words) >= 24 and not chars[TABLE] > 0.5 * solid:
-        chars = Counter({JUNK: solid})
-    stats = (
-        letters / max(len(words), 1),
-        symbols / max(solid, 1),
-        sum(bool(SENTENCE_END.search(x)) for x in lines) / len(lines),
-        sum(counts[w] for w in common) / max(len(words), 1),
-        marked / len(lines),
-        cells / len(lines),
-        len(words) / len(lines),
-        _repeated(words),
-        sum(map(str.isalpha, text)) / max(solid, 1),
-    )
-    return (language, len(words), *stats, chars[PROSE], chars[LIST], chars[TABLE], chars[JUNK])
-
-
-def statistics(documents: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Per document the language, ``words``, each of STATISTICS and characters by kind of line. One pass, no shuffle.
-
-    ``common_words`` is a short fixed list of words per language and is read by the driver. Null and blank texts have zeros.
-    """
+    words = WORD.findall(text.lower())
+    if len(words) >= 24 and _repeated(words) > 0.6 and 2 * chars[TABLE] <= chars.total():
+        return Counter({JUNK: chars.total()})
+    return chars
+
+
+def word_lists(common_words: DataFrame) -> dict[str, frozenset]:
+    """The common words by language: a short fixed list, read by the driver. Nulls are left out."""
     lists: dict[str, set] = {}
     for r in common_words.select(F.lower("lang").alias("lang"), F.lower("word").alias("word")).distinct().collect():
         if r.lang and r.word:
             lists.setdefault(r.lang, set()).add(r.word)
-    commons = {k: frozenset(v) for k, v in lists.items()}
-    names = ("prose_chars", "list_chars", "table_chars", "junk_chars")
-    schema = T.StructType(
-        [documents.schema[key], T.StructField("language", T.StringType()), T.StructField("words", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in STATISTICS), *(T.StructField(c, T.LongType()) for c in names)]
-    )
-    kinds = [pa.string(), pa.int64(), *[pa.float64()] * len(STATISTICS), *[pa.int64()] * len(names)]
+    return {k: frozenset(v) for k, v in sorted(lists.items())}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [measure(t, commons, d) for t, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], names=schema.names)
 
-    return documents.select(key, text, F.lower(F.trim(lang))).mapInArrow(run, schema)
+def _count(text: str, mark: str) -> Column:
+    """How often ``mark`` stands in a column."""
+    return F.floor((F.length(text) - F.length(F.replace(F.col(text), F.lit(mark), F.lit("")))) / len(mark))
 
 
-def scored(stats: DataFrame, tail: float = 0.5) -> DataFrame:
-    """Adds ``z_<statistic>``, the robust z-score within the language, and ``flagged``: some score beyond ``tail``.
+def _hits(words: str, own: frozenset) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(*sorted(own))))
+
+
+def statistics(documents: DataFrame, commons: dict[str, frozenset], key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``key``, ``text`` and per document the language, ``words`` and each of STATISTICS, as expressions; one pass, no shuffle.
 
-    Median and spread come from KLL sketches of all documents of the language that have words, merged from each task's
-    partial sketch; the sketches are as many as there are languages in the list of common words. A document whose language
-    cannot be told is held against the merged sketches of all documents, as its like would set no measure. A statistic without
-    spread within a language has the score 0 at the median and infinity elsewhere. A document without words is flagged.
+    The language is the one most of whose common words occur; with none, the declared one, else ``und``. Null and blank texts
+    have zeros.
     """
-    spread = []
-    for c in STATISTICS:
-        spread.append(F.kll_sketch_agg_double(c).alias(f"_k_{c}"))
-    each = stats.where("words > 0").groupBy("language").agg(*spread)
+    given = documents.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"), F.lower(F.trim(F.col(lang))).alias("_lang"))
+    body = F.col("text")
+    out = given.withColumn("_solid", F.regexp_replace(body, r"[\s\p{Z}]+", "")).withColumn("_words", F.regexp_extract_all(F.lower(body), F.lit(r"\p{L}+(?:['’]\p{L}+)?"), F.lit(0)))
+    out = out.withColumn("_lines", F.filter(F.split(body, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.regexp_like(x, F.lit(r"[^\s\p{Z}]"))))
+    out = out.withColumn("words", F.size("_words").cast("long")).withColumn("_n", F.size("_lines")).withColumn("solid", F.length("_solid"))
+    hits = [F.struct(_hits("_words", own).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("language")) for i, (name, own) in enumerate(commons.items())]
+    declared = F.when(F.col("_lang").isin(*commons), F.col("_lang")).otherwise("und") if commons else F.lit("und")
+    out = out.withColumn("_best", F.sort_array(F.array(*hits), False)[0] if hits else F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.lit("und").alias("language")))
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0).cast("double")
+    solid, n, lines = F.col("solid"), F.col("words"), F.col("_n")
+    ends = F.filter("_lines", lambda x: F.right(F.rtrim(x, F.lit(" \t)]\"'”’»")), F.lit(1)).isin(*".!?…;:。"))
+    marked = F.filter("_lines", lambda x: F.regexp_like(x, F.lit(r"^\s*(?:[-*+•◦‣▪–—]|\[[ xX]?\]|\(?(?:[0-9]{1,4}|[A-Za-z]|[ivxlc]{1,6})[.)]|[0-9]{1,3}(?:\.[0-9]{1,3})+\.?)\s+\S")))
+    # marks that may part cells: bars, tabs, pairs of blanks, commas and semicolons with no blank behind
+    cells = _count("text", "|") + _count("text", "\t") + _count("text", "  ") + _count("text", ",") - _count("text", ", ") + _count("text", ";") - _count("text", "; ")
+    values = {
+        "mean_word_length": share(F.length(F.array_join("_words", "")), n),
+        "symbol_ratio": share(solid - F.length(F.regexp_replace(F.col("_solid"), r"[^\p{L}\p{N}]+", "")), solid),
+        "punctuated_lines": share(F.size(ends), lines),
+        "common_words": share(F.col("_best")["n"], n),
+        "marked_lines": share(F.size(marked), lines),
+        "line_separators": share(cells, lines),
+        "mean_line_words": share(n, lines),
+        # distinct words of so many, as the ratio of their logarithms, which hardly depends on the length of a text
+        "variety": F.when(n > 1, F.log(F.size(F.array_distinct("_words")).cast("double")) / F.log(n.cast("double"))).otherwise(1.0),
+        "letter_ratio": share(F.length(F.regexp_replace(F.col("_solid"), r"\P{L}+", "")), solid),
+    }
+    language = F.when(F.col("_best")["n"] > 0, F.col("_best")["language"]).otherwise(declared)
+    return out.select(key, "text", language.alias("language"), "words", "solid", *(c.alias(k) for k, c in values.items()))
+
+
+def limits(stats: DataFrame) -> DataFrame:
+    """Per language the quartiles of each statistic, from KLL sketches of all documents that have words, merged over the tasks.
+
+    One row per language of the list of common words, and ``und``: the merged sketches of all documents, as documents whose
+    language cannot be told would set no measure.
+    """
+    each = stats.where("words > 0").groupBy("language").agg(*(F.kll_sketch_agg_double(c).alias(f"_k_{c}") for c in STATISTICS))
+    each = written(each, "quality-sketches")
     whole = each.groupBy(F.lit("und").alias("language")).agg(*(F.kll_merge_agg_double(f"_k_{c}").alias(f"_k_{c}") for c in STATISTICS))
     sketches = each.where("language <> 'und'").unionByName(whole)
-    quantiles = sketches.select("language", *(F.expr(f"kll_sketch_get_quantile_double(_k_{c}, array(0.25D, 0.5D, 0.75D))").alias(f"_q_{c}") for c in STATISTICS))
-    out = stats.join(F.broadcast(quantiles), "language", "left")
+    return sketches.select("language", *(F.expr(f"kll_sketch_get_quantile_double(_k_{c}, array(0.25D, 0.5D, 0.75D))").alias(f"_q_{c}") for c in STATISTICS))
+
+
+def scored(stats: DataFrame, limits_: DataFrame, tail: float = TAIL) -> DataFrame:
+    """Adds ``z_<statistic>``, the robust z-score within the language, and ``flagged``: some score beyond ``tail``.
+
+    The spread is that of the narrower half of a distribution about its median: documents that are no prose widen one half of it.
+    A statistic without spread within a language has the score 0 at the median and infinity elsewhere. A document without
+    words is flagged. ``usual`` has median and spread of common words and letters, by which ``forms`` judges blocks.
+    """
+    out = stats.join(F.broadcast(limits_), "language", "left")  # one row per language
     beyond = F.lit(False)
+    spread = lambda q: F.least(q[2] - q[1], q[1] - q[0]) / 0.6745
     for c in STATISTICS:
         q = F.col(f"_q_{c}")
         off = F.col(c) - q[1]
-        z = F.when(off == 0, 0.0).when(q[2] - q[0] > 0, off / ((q[2] - q[0]) / 1.349)).when(off.isNotNull(), F.signum(off) * F.lit(float("inf")))
+        z = F.when(off == 0, 0.0).when(spread(q) > 0, off / spread(q)).when(off.isNotNull(), F.signum(off) * F.lit(float("inf")))
         out = out.withColumn(f"z_{c}", F.coalesce(z, F.lit(0.0)))
         beyond = beyond | (F.abs(F.col(f"z_{c}")) > tail)
-    return out.drop(*(f"_q_{c}" for c in STATISTICS)).withColumn("flagged", beyond | (F.col("words") == 0))
+    pair = lambda c: F.array(F.col(f"_q_{c}")[1], spread(F.col(f"_q_{c}")))
+    usual = F.when(F.col("_q_common_words").isNotNull(), F.concat(pair("common_words"), pair("letter_ratio")))
+    return out.withColumn("usual", usual).drop(*(f"_q_{c}" for c in STATISTICS)).withColumn("flagged", beyond | (F.col("words") == 0))
+
+
+def forms(scores: DataFrame, commons: dict[str, frozenset], key: str = "doc_id") -> DataFrame:
+    """Adds ``form`` and the characters by kind: ``prose``, or of a flagged document most of whose characters are not prose the
+    most frequent other kind. Documents within all tails are prose; only flagged texts cross to Python. Null and blank texts have no form.
+    """
+    names = ("prose_chars", "list_chars", "table_chars", "junk_chars")
+    kept = [f for f in scores.schema.fields if f.name not in ("text", "usual", "solid")]
+    schema = T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in names)])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list[int]] = [[] for _ in names]
+            for text, solid, usual, language in zip(*(batch.column(c).to_pylist() for c in ("text", "solid", "usual", "language"))):
+                if text is None:
+                    got = Counter({PROSE: solid})
+                else:
+                    known = None if usual is None else {"common_words": tuple(usual[:2]), "letter_ratio": tuple(usual[2:])}
+                    got = kinds(text, commons.get(language, frozenset()), known or {"common_words": None, "letter_ratio": None})
+                for col, k in zip(cols, (PROSE, LIST, TABLE, JUNK)):
+                    col.append(got[k])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(c, pa.int64()) for c in cols)], names=schema.names)
 
-def forms(scores: DataFrame) -> DataFrame:
-    """Adds ``form``: ``prose``, or of a flagged document most of whose characters are not prose the most frequent other kind."""
+    sent = scores.withColumn("text", F.when(F.col("flagged") & (F.col("solid") > 0), F.col("text")))
+    out = sent.select(*(f.name for f in kept), "text", "usual", "solid").mapInArrow(run, schema)
     parts = ("list", "table", "junk")
     rest = sum((F.col(f"{p}_chars") for p in parts[1:]), F.col("list_chars"))
     most = F.greatest(*(F.col(f"{p}_chars") for p in parts))
-    other = F.when(F.col("table_chars") == most, "table").when(F.col("list_chars") == most, "list").otherwise("junk")
-    return scores.withColumn("form", F.when(F.col("flagged") & (rest > F.col("prose_chars")), other).when(F.col("words") + rest > 0, "prose"))
+    other = F.when(F.col("table_chars") == most, TABLE).when(F.col("list_chars") == most, LIST).otherwise(JUNK)
+    return out.withColumn("form", F.when(rest > F.col("prose_chars"), other).when(F.col("words") + rest > 0, PROSE))
+
+
+def assess(documents: DataFrame, common_words: DataFrame, tail: float = TAIL) -> DataFrame:
+    """Statistics, scores, flags and forms of all documents. Texts and statistics are written once, so that neither is
+    made again when the sketches are known."""
+    commons = word_lists(common_words)
+    stats = written(statistics(documents, commons), "quality")
+    return forms(scored(stats, written(limits(stats), "quality-limits"), tail), commons)

@@ -389,8 +389,22 @@ def test_quality(spark):
     rows += [(100 + i, prose + " " + "It was read by the counter. " * (i % 3), "en") for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("words", F.lit("clash"))
     words = spark.createDataFrame([("en", w) for w in "the of a is in it was by and that all there to so on as".split()] + [("de", "und"), (None, "x"), ("en", None)], "lang string, word string")
-    got = {r.doc_id: r for r in quality.forms(quality.scored(quality.statistics(df, words))).collect()}
-    assert {i: got[i].form for i in range(1, 14)} == {1: "prose", 2: "prose", 3: "list", 4: "list", 5: "table", 6: "junk", 7: "junk", 8: None, 9: None, 10: "prose", 11: "prose", 12: "prose", 13: "prose"}
+    got = {r.doc_id: r for r in quality.assess(df, words).collect()}
+    # entries are a list whatever they say (12); a phrase without end, and signs, are junk; blank texts have no form
+    assert {i: got[i].form for i in range(1, 14)} == {1: "prose", 2: "prose", 3: "list", 4: "list", 5: "table", 6: "junk", 7: "junk", 8: None, 9: None, 10: "prose", 11: "prose", 12: "list", 13: "prose"}
     assert got[1].words == len(quality.WORD.findall(prose)) and got[8].words == 0
-    assert quality.forms(quality.scored(quality.statistics(df.limit(0), words))).count() == 0
-    assert quality.statistics(df, words.limit(0)).where("language <> 'und'").count() == 0
+    assert not got[100].flagged and got[3].flagged and got[3].z_marked_lines == float("inf")
+    assert quality.assess(df.limit(0), words).count() == 0
+    commons = quality.word_lists(words)
+    assert quality.statistics(df, {}).where("language <> 'und'").count() == 0 and commons["de"] == {"und"}
+
+
+def test_quality_by_the_sketches(spark):
+    """The same block is junk or prose by the distribution of its language: the sketches decide, not a fixed share."""
+    block = ["page cache index of memory table entry vector segment the hash bucket slot frame journal parser"] * 1
+    common = frozenset(["the", "of", "a", "is", "and", "to"])
+    usual = lambda median, spread: {"common_words": (median, spread), "letter_ratio": (0.97, 0.01)}
+    long = [" ".join(w + c for w in block[0].split() for c in "xyz")] 
+    assert quality._plain_block(long, common, usual(0.4, 0.02)) == "junk" and quality._plain_block(long, common, usual(0.05, 0.02)) == "prose"
+    assert quality._plain_block(long, common, {"common_words": None, "letter_ratio": None}) == "prose"
+    assert quality._off(0.2, 10, (0.4, 0.02)) == 0.0 and quality._off(0.2, 1000, (0.4, 0.02)) < -3.5 and quality._off(0.2, 100, (0.4, 0.0)) == -float("inf")
