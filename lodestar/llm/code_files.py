@@ -19,18 +19,18 @@ from lodestar.llm import syntax
 BLOCK = 64
 
 
-def blocks(code: DataFrame, keep: list[str], per_block: int = BLOCK, before: int = 1, ghosts: bool = False) -> DataFrame:
+def blocks(code: DataFrame, keep: list[str], per_block: int = BLOCK, by_file: bool = False) -> DataFrame:
     """``(revision_id, block, *keep, pieces)``: the chunks of a block in order, without what they share with the one before.
 
     ``code`` has ``id, revision_id, ordinal, text, char_start, line_start`` and the columns ``keep``, equal for all chunks of a
     revision. ``pieces`` are ``(ordinal, text)``: a chunk's own text, led by the blanks between it and the chunk before,
-    as the positions tell. Rows delivered twice count once. Without positions a chunk begins on a new line. The last
-    ``before`` chunks of the block before are also read; ``ghosts`` keeps them in ``pieces``.
+    as the positions tell. Rows delivered twice count once. Without positions a chunk begins on a new line. The last chunk
+    of the block before is also read. ``by_file``: all blocks of a file lie in one partition.
     """
     block = F.floor(F.col("ordinal") / per_block).cast("int")
     rows = code.select("id", "revision_id", F.col("ordinal").cast("int").alias("ordinal"), F.coalesce("text", F.lit("")).alias("text"), "char_start", "line_start", *keep, block.alias("block"), F.lit(False).alias("ghost"))
-    edge = rows.where(F.col("ordinal") % per_block >= per_block - before).withColumn("block", F.col("block") + 1).withColumn("ghost", F.lit(True))
-    one = rows.unionByName(edge).repartition("revision_id", "block").dropDuplicates(["revision_id", "block", "ordinal", "id"])
+    edge = rows.where(F.col("ordinal") % per_block == per_block - 1).withColumn("block", F.col("block") + 1).withColumn("ghost", F.lit(True))
+    one = rows.unionByName(edge).repartition(*(["revision_id"] if by_file else ["revision_id", "block"])).dropDuplicates(["revision_id", "block", "ordinal", "id"])
     w = Window.partitionBy("revision_id", "block").orderBy("ordinal", "id")
     lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     gap = F.col("char_start") - F.lag(F.col("char_start") + F.length("text")).over(w)
@@ -42,11 +42,8 @@ def blocks(code: DataFrame, keep: list[str], per_block: int = BLOCK, before: int
         .when(F.col("_gap") < 0, F.expr("substring(text, 1 - _gap)"))
         .otherwise(F.concat(F.repeat(F.lit("\n"), down.cast("int")), F.repeat(F.lit(" "), (F.col("_gap") - down).cast("int")), "text"))
     )
-    one = one.withColumn("_own", own)
-    if not ghosts:
-        one = one.where(~F.col("ghost"))
-    gathered = one.groupBy("revision_id", "block").agg(*(F.max(k).alias(k) for k in keep), F.max(~F.col("ghost")).alias("_real"), F.array_sort(F.collect_list(F.struct("ordinal", "id", F.col("_own").alias("text")))).alias("pieces"))
-    return gathered.where("_real").drop("_real")
+    one = one.withColumn("_own", own).where(~F.col("ghost"))
+    return one.groupBy("revision_id", "block").agg(*(F.max(k).alias(k) for k in keep), F.array_sort(F.collect_list(F.struct("ordinal", "id", F.col("_own").alias("text")))).alias("pieces"))
 
 
 def _pack(whole: dict) -> str:

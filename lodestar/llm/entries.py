@@ -45,7 +45,7 @@ def p3_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return functions.documented(functions.symbols(load(spark, sf, "chunks")))
+    return functions.documented(p4_pairs(spark, sf))
 
 
 def p4_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,12 +119,12 @@ def oracle_sql() -> dict[str, str]:
             b AS (SELECT doc_id, arg_min(lang, struct_pack(a := -n, b := lang)) AS lang, max(n) AS n FROM h GROUP BY doc_id)
             SELECT a.doc_id, coalesce(b.lang, CASE WHEN declared IN (SELECT lang FROM c) THEN declared END, 'und') AS language, CAST(len(ws) AS BIGINT) AS words,
               round(CASE WHEN len(ws) > 0 THEN length(array_to_string(ws, '')) / len(ws) ELSE 0 END, 6) AS mean_word_length,
-              round(CASE WHEN length(solid) > 0 THEN length(regexp_replace(solid, '[\p{L}\p{N}]+', '', 'g')) / length(solid) ELSE 0 END, 6) AS symbol_ratio,
+              round(CASE WHEN length(solid) > 0 THEN (length(regexp_replace(solid, '\p{N}+', '', 'g')) - length(array_to_string(ws, ''))) / length(solid) ELSE 0 END, 6) AS symbol_ratio,
               round(CASE WHEN len(ls) > 0 THEN len(list_filter(ls, lambda x: regexp_matches(x, '[.!?…;:。][)\]"''”’» \t]*$'))) / len(ls) ELSE 0 END, 6) AS punctuated_lines,
               round(CASE WHEN len(ws) > 0 THEN coalesce(b.n, 0) / len(ws) ELSE 0 END, 6) AS common_words,
               round(CASE WHEN len(ls) > 0 THEN len(ws) / len(ls) ELSE 0 END, 6) AS mean_line_words,
               round(CASE WHEN len(ws) > 1 THEN ln(len(list_distinct(ws))) / ln(len(ws)) ELSE 1 END, 6) AS variety,
-              round(CASE WHEN length(solid) > 0 THEN length(regexp_replace(solid, '\P{L}+', '', 'g')) / length(solid) ELSE 0 END, 6) AS letter_ratio
+              round(CASE WHEN length(solid) > 0 THEN length(array_to_string(ws, '')) / length(solid) ELSE 0 END, 6) AS letter_ratio
             FROM a LEFT JOIN b USING (doc_id)""",
         "p1_found": r"""
             SELECT DISTINCT id AS chunk_id FROM chunks

@@ -7,10 +7,11 @@ joined with separate definitions of the same symbol, then pairs whose documentat
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import syntax
@@ -31,6 +32,7 @@ HEADS = {
     "java": re.compile(rf"^[ \t]*(?:@\w+(?:\([^()\n]*\))?[ \t]+)*(?P<d>{_MODS})(?:<[^()\n]*>[ \t]*)?(?:(?P<t>[\w.]+(?:<[^()\n=;]*>)?(?:\[\])*)[ \t]+)?(?P<n>\w+)[ \t]*(?P<p>\()", re.M),
     "c": re.compile(r"^[ \t]*(?:template[ \t]*<[^\n{};]*>[ \t\n]*)?(?P<t>(?:[\w:]+(?:<[^\n(){};]*>)?(?:::\w+)*[ \t*&]+)+)(?P<n>(?:\w+::)*~?\w+)[ \t]*(?P<p>\()", re.M),
 }
+LEXED = {"python": "python", "go": "go", "rust": "rust", "js": "js", "ts": "ts", "java": "java", "c": "cpp", "cpp": "cpp", "sql": "sql"}
 FAMILY = {"python": "python", "go": "go", "rust": "rust", "js": "js", "ts": "js", "java": "java", "c": "c", "cpp": "c"}
 #: Words that stand before brackets without being a function's name (fixed values of the languages).
 NOT_NAMES = frozenset("if for while switch return else catch new throw sizeof do case delete typeof await yield assert function super this synchronized try goto in of elif not and or alignof decltype static_assert defined let const var import constructor".split())
@@ -153,22 +155,88 @@ def _above(text: str, lines: list[int], line: int, family: str, comments: dict[i
     return _clean("\n".join(reversed(got))) if got else None
 
 
+#: What encloses functions, by family; group ``n`` is its name (of a Rust implementation the type).
+SCOPES = {
+    "python": re.compile(r"^(?P<i>[ \t]*)(?:class[ \t]+(?P<n>\w+)|(?:async[ \t]+)?def[ \t]+(?P<f>\w+))", re.M),
+    "java": re.compile(r"\b(?:class|interface|enum|record)\s+(?P<n>\w+)[^;{}()]*(?:\([^()]*\)[^;{}()]*)?(?P<b>\{)"),
+    "js": re.compile(r"\b(?:class|namespace|interface)\s+(?P<n>[\w$]+)[^;{}()]*(?P<b>\{)"),
+    "c": re.compile(r"\b(?:class|struct|namespace|union)\s+(?:\[\[[^\]]*\]\]\s*)?(?P<n>\w+)(?:\s+final)?\s*(?::[^;{}()]*)?(?P<b>\{)"),
+    "rust": re.compile(r"\b(?:impl\b\s*(?:<[^{};]*?>\s*)?(?:[^{};]*?\bfor\s+)?&?(?P<n>\w+)|(?:trait|mod)\s+(?P<m>\w+))[^{};]*(?P<b>\{)"),
+}
+
+
+def scopes(bare: str, family: str) -> list[tuple[int, int, str]]:
+    """``(start, stop, name)`` of what may enclose functions of a text whose comments and strings are blanked."""
+    pattern = SCOPES.get(family)
+    if pattern is None:
+        return []
+    out: list[tuple[int, int, str]] = []
+    if family == "python":
+        open_: list[tuple[int, int, str]] = []
+        heads = [(m.start(), len(m["i"].expandtabs()), m["n"] or m["f"]) for m in pattern.finditer(bare)]
+        # a scope ends at the next line of its indentation or less; heads alone show it for what they enclose
+        for start, indent, name in [*heads, (len(bare), -1, "")]:
+            while open_ and open_[-1][1] >= indent:
+                a, _, n = open_.pop()
+                out.append((a, start, n))
+            open_.append((start, indent, name))
+        return out
+    for m in pattern.finditer(bare):
+        stop = _close(bare, m.start("b"))
+        out.append((m.start("b"), stop if stop > 0 else len(bare), m["n"] or m.groupdict().get("m") or ""))
+    return out
+
+
 def functions_in(text: str, declared: str | None) -> list[tuple[str, str, str, str, str | None, str]]:
     """``(name, qualified name, signature, kind, documentation, code)`` of the functions of a text; kind is definition or declaration."""
-    seen: dict[tuple, tuple] = {}
     variants = [text]
     if MARK.search(text):
-        variants = [CONFLICT.sub("", text), MARK.sub("", text)]
-        variants[0] = MARK.sub("", variants[0])
+        variants = [MARK.sub("", CONFLICT.sub("", text)), MARK.sub("", text)]
+    seen: dict[tuple, tuple] = {}
     for v in variants:
+        times: Counter = Counter()
         for f in _functions_in(v, declared):
-            key = f[:4]
+            # functions of one symbol are told apart by their order, so that both sides of a conflict meet and none is lost
+            key = (*f[1:4], times[f[1:4]])
+            times[f[1:4]] += 1
             if key not in seen or (seen[key][4] is None and f[4] is not None):
-                seen[key] = f
+                seen[key] = f[:7]
     return list(seen.values())
 
 
+def decided(text: str, declared: str | None) -> tuple[list[tuple], int]:
+    """``(functions, hold)`` of a text that goes on: the functions that begin before ``hold``, from where it must be read again.
+
+    The text is held from the last function's comment on if the function has not ended, else from its end, or from the last
+    comment behind it. Before that place nothing is open but what encloses functions.
+    """
+    found = family_of(text, declared)
+    bare, spans = blanked(text, found[1] if found else LEXED.get(declared or "", "java"))
+    rows = _functions_in(text, declared)
+    hold = 0
+    if rows:
+        last = max(rows, key=lambda f: f[7])
+        hold = last[8] if last[8] < len(text.rstrip()) else _comment_above(text, spans, last[7])
+    tail = [a for a, b in spans if a >= hold and not text[b:].strip()]
+    if not rows or hold == last[8]:
+        hold = _comment_above(text, spans, min(tail)) if tail else (hold if bare[hold:].strip() else len(text.rstrip()))
+    return [f[:7] for f in rows if f[7] < hold], hold
+
+
+def _comment_above(text: str, spans: list[tuple[int, int]], at: int) -> int:
+    """Where the lines that stand directly above ``at`` begin; a comment counts whole."""
+    at = text.rfind("\n", 0, at) + 1
+    while at > 0:
+        above = text.rfind("\n", 0, at - 1) + 1
+        if not text[above : at - 1].strip():
+            break
+        around = [a for a, b in spans if a < at - 1 and b > above]
+        at = text.rfind("\n", 0, min(around)) + 1 if around and min(around) < above else above
+    return at
+
+
 def _functions_in(text: str, declared: str | None) -> list[tuple]:
+    """As ``functions_in``, of one text; the last two are the names of the parameters and where the function begins."""
     found = family_of(text, declared)
     if not found:
         return []
@@ -184,8 +252,14 @@ def _functions_in(text: str, declared: str | None) -> list[tuple]:
         for k in range(line_of(a), line_of(max(a, b - 1)) + 1):
             comments.setdefault(k, (a, b))
     out = []
-    scope: list[tuple[int, str]] = []
+    around = sorted(scopes(bare, family))
+    inside: list[tuple[int, int, str]] = []
+    nth = 0
     for m in HEADS[family].finditer(bare):
+        while nth < len(around) and around[nth][0] < m.start():
+            inside.append(around[nth])
+            nth += 1
+        inside = [x for x in inside if x[1] > m.start()]
         groups = m.groupdict()
         name = groups.get("n") or groups.get("a") or groups.get("m")
         if not name or name.split("::")[-1] in NOT_NAMES:
@@ -238,7 +312,8 @@ def _functions_in(text: str, declared: str | None) -> list[tuple]:
         else:
             doc = _above(text, lines, line, family, comments, code)
         stop = _body_end(bare, end, family, start) if end > 0 else len(text)
-        out.append((name, f"{qualifier}.{name}" if qualifier else name, _signature(params, family), kind, None if doc is None else "\n".join(doc).strip(), text[start:stop], _names(params, family)))
+        path = [x[2] for x in inside] + ([qualifier.replace("::", ".")] if qualifier else [])
+        out.append((name, ".".join([*path, name]), _signature(params, family), kind, None if doc is None else "\n".join(doc).strip(), text[start:stop], _names(params, family), start, stop))
     return out
 
 
@@ -272,10 +347,16 @@ def _docstring(text: str, bare: str, end: int) -> list[str] | None:
 def _body_end(bare: str, end: int, family: str, start: int) -> int:
     if family == "python":
         indent = len(re.match(r"[ \t]*", bare[bare.rfind("\n", 0, start) + 1 :])[0])
-        for m in re.finditer(r"\n(?=[^\n])", bare[end:]):
-            line = bare[end + m.end() :].split("\n", 1)[0]
+        for m in re.compile(r"\n(?=[^\n])").finditer(bare, end):
+            stop = bare.find("\n", m.end())
+            line = bare[m.end() : stop if stop >= 0 else len(bare)]
+            before = m.start()
+            while bare[before - 1] == "\n":
+                before -= 1
+            if line.startswith('"') and bare[before - 1] == '"':
+                continue  # within a string of several lines
             if line.strip() and len(line) - len(line.lstrip()) <= indent:
-                return end + m.start()
+                return m.start()
         return len(bare)
     m = re.compile(r"[^;{]*(?P<b>[;{])").match(bare, end)
     if not m:
@@ -363,54 +444,77 @@ def says_something(doc: str, name: str, params: list[str]) -> bool:
 
 
 SYMBOLS = "revision_id long, language string, name string, qualified string, signature string, kind string, doc string, code string, says boolean"
+_KINDS = [pa.int64(), *[pa.string()] * 7, pa.bool_()]
 
 
-def symbols(chunks: DataFrame, per_block: int = 256, before: int = 4) -> DataFrame:
+def symbols(chunks: DataFrame, per_block: int = 256) -> DataFrame:
     """The symbol table: one row per function of every revision that has code chunks (see ``functions_in``).
 
-    A file is read in blocks of ``per_block`` chunks together with the last ``before`` chunks of the block before, so that a
-    function and its comment may stand in different chunks; both at once are at most ``before`` chunks long. ``symbol``
-    is not read, as it is often missing. The declared language is the chunk's ``locator.language``.
+    A file is read in blocks of ``per_block`` chunks, one after the other in one task; what a block leaves open, a function or
+    a comment whose function may follow, is carried into the next, so that no border cuts either and no file is held
+    whole. Behind a border, names of enclosing classes are not known. ``symbol`` is not read, as it is often missing. The
+    declared language is the chunk's ``locator.language``. Rows delivered twice count once; null texts are empty.
     """
     code = chunks.where("kind = 'code'").select("id", "revision_id", "ordinal", "text", F.col("locator.char_start").alias("char_start"), F.col("locator.line_start").alias("line_start"), F.lower("locator.language").alias("ext"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for revision, ext, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                declared = syntax.LANGUAGES.get((ext or "").lstrip("."))
-                for f in functions_in("".join(p["text"] for p in pieces), declared):
-                    rows.append((revision, declared, *f[:6], bool(f[4]) and says_something(f[4], f[0], f[6])))
-            cols = list(zip(*rows)) if rows else [()] * 9
-            kinds = [pa.int64(), *[pa.string()] * 7, pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["revision_id", "language", "name", "qualified", "signature", "kind", "doc", "code", "says"])
+        rows: list[tuple] = []
+        at, carry, declared = None, "", None
 
-    return blocks(code, ["ext"], per_block, before, ghosts=True).select("revision_id", "ext", "pieces").mapInArrow(run, SYMBOLS)
+        def keep(found: list[tuple]) -> None:
+            rows.extend((at, declared, *f[:6], bool(f[4]) and says_something(f[4], f[0], f[6])) for f in found)
 
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*rows)) if rows else [()] * len(_KINDS)
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS)], names=[x.split()[0] for x in SYMBOLS.split(", ")])
 
-def documented(table: DataFrame) -> DataFrame:
-    """``(revision_id, func_name)``, each once: functions documented where they stand, with a body or declared without one."""
-    return table.where("says").select("revision_id", F.col("name").alias("func_name")).distinct()
+        for batch in batches:
+            for revision, ext, pieces in zip(*(c.to_pylist() for c in batch.columns)):
+                text = "".join(p["text"] for p in pieces)
+                if revision == at and at is not None:
+                    done, hold = decided(MARK.sub("", carry), declared)
+                    keep(done)
+                    carry = MARK.sub("", carry)[hold:] + text
+                else:
+                    keep(functions_in(carry, declared))
+                    at, carry, declared = revision, text, syntax.LANGUAGES.get((ext or "").lstrip("."))
+            yield out()
+        keep(functions_in(carry, declared))
+        yield out()
+
+    inside = blocks(code, ["ext"], per_block, by_file=True).sortWithinPartitions("revision_id", "block")
+    return inside.select("revision_id", "ext", "pieces").mapInArrow(run, SYMBOLS)
 
 
 def pairs(table: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """``(revision_id, func_name, qualified, signature, doc, code, own)``: pairs of code and documentation.
+    """``(revision_id, func_name, qualified, signature, doc, code, own, doc_revision_id)``: pairs of code and documentation.
 
-    A definition without documentation takes that of a documented declaration of the same root, qualified name, signature and
-    language (``own`` is false then); of several the one of the lowest revision. A documented declaration that no definition of its
-    root meets is a pair of its own. ``roots`` maps ``revision_id`` to ``root_id``; without it nothing is joined and declarations
-    are left out. Pairs whose documentation says nothing are left out; a null doc is none.
+    Documented functions are joined with the separate definitions of the same root, qualified name, signature and language. A
+    definition without documentation takes that of the declaration of the lowest revision; ``own`` is false then, and
+    ``doc_revision_id`` says where the documentation stands. Every documented declaration is in a pair: with an undocumented definition,
+    or else with its own code. Without ``roots`` (``revision_id`` to ``root_id``) each revision is a root of its own. Pairs whose
+    documentation says nothing are left out; a null doc is none. Both sides are pre-aggregated by symbol before they meet.
     """
-    shown = ["revision_id", F.col("name").alias("func_name"), "qualified", "signature", "doc", "code"]
-    own = table.where("says and kind = 'definition'").select(*shown, F.lit(True).alias("own"))
-    if roots is None:
-        return own
     key = ["root_id", "language", "qualified", "signature"]
-    placed = table.join(roots.select("revision_id", "root_id").dropDuplicates(["revision_id"]), "revision_id")
+    if roots is None:
+        placed = table.withColumn("root_id", F.col("revision_id"))
+    else:
+        placed = table.join(roots.select("revision_id", "root_id").dropDuplicates(["revision_id"]), "revision_id", "left")
+    shown = ["revision_id", F.col("name").alias("func_name"), "qualified", "signature", "doc", "code"]
+    own = table.where("says and kind = 'definition'").select(*shown, F.lit(True).alias("own"), F.col("revision_id").alias("doc_revision_id"))
     declared = placed.where("says and kind = 'declaration'")
-    first = declared.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("revision_id", "doc"))).where("_r = 1").select(*key, F.col("doc").alias("_doc"))
-    lent = placed.where("kind = 'definition' and doc is null").join(first, key).withColumn("doc", F.col("_doc")).select(*shown, F.lit(False).alias("own"))
-    met = placed.where("kind = 'definition'").select(*key).distinct()
-    alone = table.where("says and kind = 'declaration'").join(roots.select("revision_id", "root_id").dropDuplicates(["revision_id"]), "revision_id", "left")
-    alone = alone.join(met, key, "left_anti").select(*shown, F.lit(True).alias("own"))
-    return own.unionByName(lent).unionByName(alone)
+    lender = declared.groupBy(*key).agg(F.min(F.struct("revision_id", "doc")).alias("_l"))
+    bare = placed.where("kind = 'definition' and doc is null")
+    lent = bare.join(lender, key).withColumn("doc", F.col("_l.doc")).select(*shown, F.lit(False).alias("own"), F.col("_l.revision_id").alias("doc_revision_id"))
+    body = bare.groupBy(*key).agg(F.min(F.struct("revision_id", "code")).alias("_b"))
+    whole = declared.join(body, key, "left").join(lender.select(*key, F.col("_l.revision_id").alias("_first")), key, "left")
+    whole = whole.where(F.col("_b").isNull() | ~F.col("revision_id").eqNullSafe(F.col("_first")))
+    met = F.col("_b").isNotNull()
+    rest = whole.select(F.coalesce("_b.revision_id", "revision_id").alias("revision_id"), F.col("name").alias("func_name"), "qualified", "signature", "doc", F.coalesce("_b.code", "code").alias("code"), (~met).alias("own"), F.col("revision_id").alias("doc_revision_id"))
+    return own.unionByName(lent).unionByName(rest)
+
+
+def documented(pairs_: DataFrame) -> DataFrame:
+    """``(revision_id, func_name)``, each once: the documented functions where their documentation stands."""
+    return pairs_.select(F.col("doc_revision_id").alias("revision_id"), "func_name").distinct()

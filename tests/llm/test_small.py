@@ -270,12 +270,56 @@ def test_pairs(spark):
     df = spark.createDataFrame(rows, CHUNK)
     roots = spark.createDataFrame([(1, 9, 0), (2, 9, 0), (2, 9, 0)], "revision_id long, root_id long, doc int")
     table = functions.symbols(df)
-    assert {(r.revision_id, r.func_name) for r in functions.pairs(table).collect()} == {(3, "open_pages")}
+    # without roots a declaration stands for itself; in both cases the documentation counts where it stands
+    assert {(r.revision_id, r.func_name) for r in functions.pairs(table).collect()} == {(3, "open_pages"), (1, "sort_all")}
+    for some in (None, roots):
+        assert {tuple(r) for r in functions.documented(functions.pairs(table, some)).collect()} == {(3, "open_pages"), (1, "sort_all")}
     lent = functions.pairs(table, roots).where("not own").collect()
     assert [(r.revision_id, r.signature) for r in lent] == [(2, "int,char*")] and "return 1" in lent[0].code
     assert functions.pairs(functions.symbols(df.limit(0)), roots).count() == 0
 
 
+def test_scopes():
+    """Methods of one name and signature in several classes are several functions, qualified by what encloses them."""
+    doc = "Sorts all the pages by number."
+    texts = {
+        "python": f'class A:\n    def run(self, x):\n        """{doc}"""\n        def inner(y):\n            return y\n\nclass B:\n    class C:\n        def run(self, x):\n            """{doc}"""\n\ndef run(self, x):\n    """{doc}"""\n',
+        "java": f"class A {{\n  /** {doc} */\n  int run(int x) {{ return 1; }}\n}}\nclass B {{\n  static class C {{\n    /** {doc} */\n    int run(int y) {{ return 1; }}\n  }}\n}}\n",
+        "cpp": f"namespace A {{\n/** {doc} */\nint run(int x) {{ return 1; }}\n}}\n/** {doc} */\nint B::C::run(int x) {{ return 2; }}\n",
+        "rust": f"impl A {{\n    /// {doc}\n    fn run(x: i64) {{}}\n}}\nimpl T for B {{\n    /// {doc}\n    fn run(x: i64) {{}}\n}}\n",
+    }
+    got = {lang: [f[1] for f in functions.functions_in(t, lang) if f[4]] for lang, t in texts.items()}
+    assert got == {"python": ["A.run", "B.C.run", "run"], "java": ["A.run", "B.C.run"], "cpp": ["A.run", "B.C.run"], "rust": ["A.run", "B.run"]}
+    twice = f'class A:\n    @property\n    def x(self):\n        """{doc}"""\n\n    @x.setter\n    def x(self):\n        """{doc}"""\n'
+    assert len(functions.functions_in(twice, "python")) == 2
+
+
+def test_functions_over_borders(spark):
+    """Files cut in chunks anywhere and read in small blocks give the functions of the whole file."""
+    texts = {
+        "py": "import os\n\n" + "".join(f'class K{i}:\n    def f{i}(self, a):\n        """Gives the number {i} of open pages.\n\n        More on it.\n        """\n        x = "{{"\n        return a\n\n\n' for i in range(30)),
+        "java": "package a;\n\nclass A {\n" + "".join(f"  /** Gives the number {i} of open pages.\n\n   * More (of it. */\n  @Override\n  int f{i}(int a) {{\n    if (a > 1) {{ return 2; }}\n    return 1; // {{\n  }}\n\n" for i in range(30)) + "}\n",
+        "go": "package a\n\n" + "".join(f"// F{i} gives the number of open pages\n// and more.\nfunc F{i}(a int) int {{\n\treturn {i}\n}}\n\n" for i in range(30)),
+    }
+    rows, want = [], {}
+    for r, (lang, text) in enumerate(texts.items()):
+        at, o = 0, 0
+        rng = random.Random(r)
+        words = [m.span() for m in __import__("re").finditer(r"\S+", text)]
+        while at < len(words):
+            n = rng.randint(1, 9)
+            a, b = words[at][0], words[min(at + n, len(words)) - 1][1]
+            rows.append((len(rows), r, o, text[a:b], a, text.count("\n", 0, a) + 1, lang))
+            at, o = at + n, o + 1
+        want[r] = sorted((f[0], f[2], f[4], f[5].split()) for f in functions.functions_in(text.rstrip(), functions.syntax.LANGUAGES[lang]))
+    df = spark.createDataFrame([(i, r, o, "code", t, locator(char_start=a, line_start=b, language=lang), "clash", 0) for i, r, o, t, a, b, lang in rows], CHUNK)
+    for per_block in (4, 16, 256):
+        got: dict = {}
+        for x in functions.symbols(df, per_block).collect():
+            got.setdefault(x.revision_id, []).append((x.name, x.signature, x.doc, x.code.split()))  # tabs between chunks come back as blanks
+        assert {r: sorted(v) for r, v in got.items()} == want, per_block
+
+
 # ------------------------------------------------------------------ 5
 
 
