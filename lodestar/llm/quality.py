@@ -32,12 +32,12 @@ STATISTICS = ("mean_word_length", "symbol_ratio", "punctuated_lines", "common_wo
 TAIL, FENCE = 3.5, 3.5
 
 
-def _repeated(words: list[str], width: int = 8) -> float:
-    """Share of the windows of ``width`` words that occur before; fewer than twice as many words: 0."""
+def _endless(words: list[str], width: int = 8) -> bool:
+    """Whether more than 0.6 of the windows of ``width`` words occur before; fewer than twice as many words: no."""
     n = len(words) - width + 1
-    if n < width:
-        return 0.0
-    return 1 - len(set(zip(*(words[i : n + i] for i in range(width))))) / n
+    if n < width or len(set(words)) > 0.4 * n + width:  # so many different words make too many different windows
+        return False
+    return len(set(zip(*(words[i : n + i] for i in range(width))))) < 0.4 * n
 
 
 def _cells(line: str) -> tuple[str, int]:
@@ -105,7 +105,7 @@ def _is_junk(text: str, common: frozenset, usual: dict[str, tuple[float, float]
     phrase without end."""
     words = WORD.findall(text.lower())
     n = len(words)
-    if _repeated(words) > 0.6:
+    if _endless(words):
         return True
     if n >= 8 and _off(sum(w in common for w in words) / n, n, usual["common_words"]) < -FENCE:
         return True
@@ -123,18 +123,19 @@ def _plain_block(lines: list[str], common: frozenset, usual: dict) -> str:
         width = max(map(len, lines))
         ends = sum(bool(SENTENCE_END.search(a)) or len(a.rstrip()) + 1 + len(b.split(None, 1)[0]) > width for a, b in zip(lines, lines[1:]))
         short = max(len(x.split()) for x in lines) <= 12 and len(words) <= 8 * len(lines) and max(map(len, text.split())) <= 40
-        if ends < 0.8 * (len(lines) - 1) and short and sum(map(str.isalpha, text)) > 0.6 * sum(map(len, text.split())) and _repeated(words) <= 0.6:
+        if ends < 0.8 * (len(lines) - 1) and short and sum(map(str.isalpha, text)) > 0.6 * sum(map(len, text.split())) and not _endless(words):
             return LIST
     if _is_junk(text, common, usual):
         return JUNK
     return PROSE if len(words) >= 4 or SENTENCE_END.search(text) else NEUTRAL
 
 
-def kinds(text: str, common: frozenset, usual: dict) -> Counter:
+def kinds(text: str, common: frozenset, usual: dict, cells: bool = True, marks: bool = True, varied: bool = False) -> Counter:
     """The characters of a text, blanks apart, by kind of the block they stand in.
 
     Marked lines are entries, whatever they say; lines with the same separators are rows; what is left between blank lines is
-    judged as a block. A caption or heading goes with what follows it, the last with what stands before.
+    judged as a block. A caption or heading goes with what follows it, the last with what stands before. What the statistics
+    rule out, marks of cells, marked lines or few different words, is not looked for.
     """
     every = text.splitlines()
     found: list[tuple[str, int]] = []
@@ -145,12 +146,12 @@ def kinds(text: str, common: frozenset, usual: dict) -> Counter:
             found.append((_plain_block(block, common, usual), sum(len("".join(x.split())) for x in block)))
             block.clear()
 
-    for line, row in zip(every, _rows(every)):
+    for line, row in zip(every, _rows(every) if cells else [False] * len(every)):
         size = len("".join(line.split()))
         if not size:
             close()
             continue
-        mark = MARKED.match(line)
+        mark = MARKED.match(line) if marks else None
         if row:
             close()
             found.append((TABLE, size))
@@ -169,8 +170,7 @@ def kinds(text: str, common: frozenset, usual: dict) -> Counter:
             after = next((k for k, _ in found[i + 1 :] if k != NEUTRAL), None)
             kind = after or next((k for k, _ in reversed(found[:i]) if k != NEUTRAL), PROSE)
         chars[kind] += size
-    words = WORD.findall(text.lower())
-    if len(words) >= 24 and _repeated(words) > 0.6 and 2 * chars[TABLE] <= chars.total():
+    if not varied and 2 * chars[TABLE] <= chars.total() and _endless(WORD.findall(text.lower()), 8):
         return Counter({JUNK: chars.total()})
     return chars
 
@@ -202,20 +202,23 @@ def statistics(documents: DataFrame, commons: dict[str, frozenset], key: str = "
     given = documents.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"), F.lower(F.trim(F.col(lang))).alias("_lang"))
     body = F.col("text")
     out = given.withColumn("_solid", F.regexp_replace(body, r"[\s\p{Z}]+", "")).withColumn("_words", F.regexp_extract_all(F.lower(body), F.lit(r"\p{L}+(?:['’]\p{L}+)?"), F.lit(0)))
-    out = out.withColumn("_lines", F.filter(F.split(body, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.regexp_like(x, F.lit(r"[^\s\p{Z}]"))))
+    out = out.withColumn("_lines", F.filter(F.split(F.translate(body, "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029", "\n" * 9), "\n"), lambda x: F.trim(F.translate(x, "\t\xa0", "  ")) != ""))
     out = out.withColumn("words", F.size("_words").cast("long")).withColumn("_n", F.size("_lines")).withColumn("solid", F.length("_solid"))
-    hits = [F.struct(_hits("_words", own).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("language")) for i, (name, own) in enumerate(commons.items())]
+    # words of any list first, so that each list is tried on few
+    out = out.withColumn("_common", F.filter("_words", lambda w: w.isin(*sorted(frozenset().union(*commons.values()))))) if commons else out
+    hits = [F.struct(_hits("_common", own).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("language")) for i, (name, own) in enumerate(commons.items())]
     declared = F.when(F.col("_lang").isin(*commons), F.col("_lang")).otherwise("und") if commons else F.lit("und")
     out = out.withColumn("_best", F.sort_array(F.array(*hits), False)[0] if hits else F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.lit("und").alias("language")))
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0).cast("double")
-    solid, n, lines = F.col("solid"), F.col("words"), F.col("_n")
+    out = out.withColumn("_letters", F.length(F.array_join("_words", "")))
+    solid, n, lines, letters = F.col("solid"), F.col("words"), F.col("_n"), F.col("_letters")
     ends = F.filter("_lines", lambda x: F.right(F.rtrim(x, F.lit(" \t)]\"'”’»")), F.lit(1)).isin(*".!?…;:。"))
     marked = F.filter("_lines", lambda x: F.regexp_like(x, F.lit(r"^\s*(?:[-*+•◦‣▪–—]|\[[ xX]?\]|\(?(?:[0-9]{1,4}|[A-Za-z]|[ivxlc]{1,6})[.)]|[0-9]{1,3}(?:\.[0-9]{1,3})+\.?)\s+\S")))
     # marks that may part cells: bars, tabs, pairs of blanks, commas and semicolons with no blank behind
     cells = _count("text", "|") + _count("text", "\t") + _count("text", "  ") + _count("text", ",") - _count("text", ", ") + _count("text", ";") - _count("text", "; ")
     values = {
-        "mean_word_length": share(F.length(F.array_join("_words", "")), n),
-        "symbol_ratio": share(solid - F.length(F.regexp_replace(F.col("_solid"), r"[^\p{L}\p{N}]+", "")), solid),
+        "mean_word_length": share(letters, n),
+        "symbol_ratio": share(F.length(F.regexp_replace(F.col("_solid"), r"\p{N}+", "")) - letters, solid),
         "punctuated_lines": share(F.size(ends), lines),
         "common_words": share(F.col("_best")["n"], n),
         "marked_lines": share(F.size(marked), lines),
@@ -223,7 +226,7 @@ def statistics(documents: DataFrame, commons: dict[str, frozenset], key: str = "
         "mean_line_words": share(n, lines),
         # distinct words of so many, as the ratio of their logarithms, which hardly depends on the length of a text
         "variety": F.when(n > 1, F.log(F.size(F.array_distinct("_words")).cast("double")) / F.log(n.cast("double"))).otherwise(1.0),
-        "letter_ratio": share(F.length(F.regexp_replace(F.col("_solid"), r"\P{L}+", "")), solid),
+        "letter_ratio": share(letters, solid),
     }
     language = F.when(F.col("_best")["n"] > 0, F.col("_best")["language"]).otherwise(declared)
     return out.select(key, "text", language.alias("language"), "words", "solid", *(c.alias(k) for k, c in values.items()))
@@ -274,12 +277,13 @@ def forms(scores: DataFrame, commons: dict[str, frozenset], key: str = "doc_id")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list[int]] = [[] for _ in names]
-            for text, solid, usual, language in zip(*(batch.column(c).to_pylist() for c in ("text", "solid", "usual", "language"))):
+            read = ("text", "solid", "usual", "language", "words", "variety", "line_separators", "marked_lines")
+            for text, solid, usual, language, words, variety, separators, marked in zip(*(batch.column(c).to_pylist() for c in read)):
                 if text is None:
                     got = Counter({PROSE: solid})
                 else:
                     known = None if usual is None else {"common_words": tuple(usual[:2]), "letter_ratio": tuple(usual[2:])}
-                    got = kinds(text, commons.get(language, frozenset()), known or {"common_words": None, "letter_ratio": None})
+                    got = kinds(text, commons.get(language, frozenset()), known or {"common_words": None, "letter_ratio": None}, separators > 0, marked > 0, words**variety > 0.4 * words + 9)
                 for col, k in zip(cols, (PROSE, LIST, TABLE, JUNK)):
                     col.append(got[k])
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(c, pa.int64()) for c in cols)], names=schema.names)
