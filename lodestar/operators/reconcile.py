@@ -45,11 +45,16 @@ def donors(wanted: DataFrame, held: DataFrame) -> DataFrame:
     return wanted.join(one, key).select("path_key", "donor_id")
 
 
-def embedding_misses(chunks: DataFrame, vectors: DataFrame, profile_id: str) -> DataFrame:
-    """``(text_hash)`` once each: texts of chunks without a stored vector of the profile, which alone are encoded."""
-    have = vectors.where((F.col("profile_id") == profile_id) & F.col("vector").isNotNull()).select(F.col("input_hash").alias("text_hash"))
+def embedding_misses(chunks: DataFrame, vectors: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``(profile_id, text_hash)`` once each: texts of chunks without a stored vector of a profile, which alone are encoded.
+
+    ``profiles`` are a few fixed rows: each text is met by each of them, as each encodes every text.
+    """
+    have = vectors.where("vector is not null and input_hash is not null").select("profile_id", F.col("input_hash").alias("text_hash")).distinct()
     need = chunks.where(F.col("text").rlike(r"\S") & F.col("text_hash").isNotNull()).select("text_hash").distinct()
-    return need.join(have, "text_hash", "left_anti")
+    ids = [r.id for r in profiles.select("id").distinct().collect() if r.id is not None]  # fixed rows
+    each = need.withColumn("profile_id", F.explode(F.array(*map(F.lit, sorted(ids))))) if ids else need.withColumn("profile_id", F.lit(None).cast("string")).limit(0)
+    return each.join(have, ["profile_id", "text_hash"], "left_anti").select("profile_id", "text_hash")
 
 
 def orphan_assets(stored: DataFrame, chunks: DataFrame) -> DataFrame:

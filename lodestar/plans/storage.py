@@ -19,11 +19,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The folder named by ``spark.checkpoint.dir``. Where the session names none, a local session gets a temporary one (tests); on
+    a cluster there is no folder that all executors share, and it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "lodestar-checkpoints")
-        spark.conf.set("spark.lodestar.checkpoint.dir", named)
     return named.rstrip("/")
 
 

@@ -121,13 +121,7 @@ for _name, (_args, _where) in _FILTERS.items():
         return _live(spark, sf).where(catalog.filters(**args)).select("file_id", "relative_path", "extension")
 
 
-@query("hydrate_candidates", f"WITH {_LIVE} SELECT chunk_id, kind, substring(text, 1, 1400) AS snippet FROM lc WHERE kind = 'transcript'")
-def _(spark, sf):
-    own = catalog.live_chunks(load(spark, sf, "chunks"), _live(spark, sf), ("kind", "text"))
-    return catalog.hydrate(own.where("kind = 'transcript'"), own).select("chunk_id", "kind", text.snippet(F.col("text")).alias("snippet"))
-
-
-@query("hydrate_all")  # hydrate_candidates hydrates transcripts only, as its SQL does
+@query("hydrate_candidates", f"WITH {_LIVE} SELECT chunk_id, kind, substring(text, 1, 1400) AS snippet FROM lc")
 def _(spark, sf):
     chunks, live = load(spark, sf, "chunks"), _live(spark, sf)
     own = catalog.live_chunks(chunks, live, ("kind", "text"))
@@ -185,10 +179,20 @@ def _(spark, sf):
     return catalog.once(load(spark, sf, "chunks").select("id", "locator")).select(F.col("id").alias("chunk_id"), text.location_label(F.col("locator")).alias("label"))
 
 
-@query("extraction_notes", "SELECT DISTINCT w AS warning, replace(w, '_', ' ') AS note FROM (SELECT unnest(warnings) AS w FROM revisions) WHERE w NOT LIKE 'slide%' AND w NOT LIKE 'presentation%' AND w NOT LIKE 'transcription%' AND w NOT IN ('no_audio_stream', 'frame_limit_reached')")
+#: The codes of warnings that have a sentence of their own, besides those of the tables.
+_CODES = ("transcription_unavailable:no_engine", "no_audio_stream", "frame_limit_reached", "presentation_ocr_partial:12_of_40", "slide_3:IMAGE_UNREADABLE", "slide_14:OCR_TIMEOUT", "slide_x:OCR_TIMEOUT", "two_words_more")
+
+
+@query("extraction_notes", "WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(warnings) AS w FROM revisions UNION ALL SELECT unnest([" + ", ".join(f"'{c}'" for c in _CODES) + """])) WHERE w IS NOT NULL)
+    SELECT w AS warning, CASE WHEN starts_with(w, 'transcription_unavailable:') THEN 'Video frames are searchable, but the audio could not be transcribed. Check local speech setup and rescan.'
+      WHEN w = 'no_audio_stream' THEN 'This video has no audio track. Its sampled frames are searchable.' WHEN w = 'frame_limit_reached' THEN 'Video sampling reached its frame limit. Later visuals may be missing.'
+      WHEN regexp_matches(w, '^presentation_ocr_partial:[0-9]+_') THEN 'Slide text is searchable. Image OCR stopped early; ' || regexp_extract(w, ':([0-9]+)_', 1) || ' image placements were not processed.'
+      WHEN regexp_full_match(w, 'slide_[0-9]+:IMAGE_UNREADABLE') THEN 'An embedded image on Slide ' || regexp_extract(w, '_([0-9]+):', 1) || ' could not be read. Slide text is still searchable.'
+      WHEN regexp_full_match(w, 'slide_[0-9]+:OCR_TIMEOUT') THEN 'Image OCR on Slide ' || regexp_extract(w, '_([0-9]+):', 1) || ' reached its time limit. Slide text is still searchable.'
+      ELSE replace(w, '_', ' ') END AS note FROM w""")
 def _(spark, sf):
-    w = load(spark, sf, "revisions").select(F.explode("warnings").alias("warning")).where("warning is not null").distinct()
-    return w.select("warning", text.extraction_note(F.col("warning")).alias("note"))
+    w = load(spark, sf, "revisions").select(F.explode("warnings").alias("warning")).union(spark.createDataFrame([(c,) for c in _CODES], "warning string"))
+    return w.where("warning is not null").distinct().select("warning", text.extraction_note(F.col("warning")).alias("note"))
 
 
 @query("content_digest", "SELECT doc_id, sha256(text) AS digest FROM documents")
@@ -319,10 +323,10 @@ def _(spark, sf):
     return vectors.floor(_embeddings(spark, sf, 10), 0.35)
 
 
-@query("hashed_encoder", rf"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '{_TOK}')) AS t FROM documents), h AS (SELECT doc_id, CAST(('0x' || right(sha256(t), 2)) AS INT) % 32 AS place, count(*) AS n FROM t GROUP BY ALL)
-    SELECT doc_id, place, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value FROM h""")
+@query("hashed_encoder", rf"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '{_TOK}') AS ts FROM documents), t AS (SELECT doc_id, unnest(ts) AS t FROM d), h AS (SELECT doc_id, CAST(('0x' || right(sha256(t), 2)) AS INT) % 32 AS place, count(*) AS n FROM t GROUP BY ALL)
+    SELECT doc_id, place, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value FROM h UNION ALL SELECT doc_id, 0, 1.0 FROM d WHERE len(ts) = 0""")
 def _(spark, sf):
-    d = load(spark, sf, "documents").where(F.size(text.index_tokens(F.col("text"))) > 0)
+    d = load(spark, sf, "documents")
     return d.select("doc_id", F.posexplode(numeric.hashed_vector(F.col("text"))).alias("place", "value")).where("value > 0").select("doc_id", "place", F.round("value", 6).alias("value"))
 
 
@@ -413,17 +417,19 @@ def _listing(spark, sf):
 
 _DISK = """rv AS (SELECT DISTINCT ON (id) id, sha256, pipeline_hash FROM revisions), ca AS (SELECT f.*, rv.sha256, rv.pipeline_hash FROM files f LEFT JOIN rv ON rv.id = f.active_revision_id),
    di AS (SELECT root_id, path_key, lower(extension) AS ext, size + CASE WHEN id % 10 = 1 THEN 1 ELSE 0 END AS size, mtime_ns + CASE WHEN id % 10 = 2 THEN 1 ELSE 0 END AS mtime_ns, CASE WHEN id % 10 = 1 THEN reverse(sha256) ELSE sha256 END AS sha256, id % 10 = 3 AS forced FROM ca WHERE id % 10 <> 0)"""
-_PIPE = "0d747705261f35a1a113343d28b67b61b321072cbd55e59b33423bd8154faf76"
+#: The pipeline of most revisions, as if it were today's.
+_PIPE = "(SELECT pipeline_hash FROM (SELECT DISTINCT id, pipeline_hash FROM revisions) WHERE pipeline_hash IS NOT NULL GROUP BY ALL ORDER BY count(*) DESC, pipeline_hash LIMIT 1)"
 
 
 @query("reconcile_decisions", f"""WITH {_DISK}, d AS (SELECT coalesce(di.path_key, ca.path_key) AS path_key, CASE WHEN di.path_key IS NULL THEN 'deleted'
-     WHEN coalesce(ca.status = 'ready' AND ca.pipeline_hash = '{_PIPE}', false) AND di.size = ca.size AND di.mtime_ns = ca.mtime_ns AND NOT di.forced THEN 'skipped'
+     WHEN coalesce(ca.status = 'ready' AND ca.pipeline_hash = {_PIPE}, false) AND di.size = ca.size AND di.mtime_ns = ca.mtime_ns AND NOT di.forced THEN 'skipped'
      WHEN di.size > 52428800 AND di.ext NOT IN ('.wav', '.mp3', '.flac', '.mp4', '.mkv') THEN 'failed'
-     WHEN coalesce(ca.status = 'ready' AND ca.pipeline_hash = '{_PIPE}' AND di.sha256 = ca.sha256, false) THEN 'reuse_checked' ELSE 'extract' END AS decision FROM di FULL JOIN ca ON di.path_key = ca.path_key)
+     WHEN coalesce(ca.status = 'ready' AND ca.pipeline_hash = {_PIPE} AND di.sha256 = ca.sha256, false) THEN 'reuse_checked' ELSE 'extract' END AS decision FROM di FULL JOIN ca ON di.path_key = ca.path_key)
    SELECT path_key, decision, CASE WHEN decision = 'failed' THEN 'FILE_TOO_LARGE' END AS code FROM d""")
 def _(spark, sf):
     listing, held = _listing(spark, sf)
-    return reconcile.decisions(listing, held, _PIPE)
+    usual = load(spark, sf, "revisions").select("id", "pipeline_hash").distinct().where("pipeline_hash is not null").groupBy("pipeline_hash").count().orderBy(F.desc("count"), "pipeline_hash").first()
+    return reconcile.decisions(listing, held, usual[0] if usual else "")
 
 
 @query("delete_inference", f"WITH {_DISK} SELECT id AS file_id FROM files WHERE root_id IN (SELECT id FROM roots WHERE last_scan IS NOT NULL) AND path_key NOT IN (SELECT path_key FROM di)")
@@ -439,9 +445,10 @@ def _(spark, sf):
     return reconcile.donors(held, held)
 
 
-@query("embedding_cache_misses", r"""SELECT DISTINCT text_hash FROM chunks WHERE regexp_matches(text, '\S') AND text_hash IS NOT NULL AND text_hash NOT IN (SELECT input_hash FROM vectors WHERE profile_id = 'prf-text-01' AND vector IS NOT NULL AND input_hash IS NOT NULL)""")
+@query("embedding_cache_misses", r"""WITH p AS (SELECT DISTINCT id AS profile_id FROM profiles WHERE modality = 'text'), t AS (SELECT DISTINCT text_hash FROM chunks WHERE regexp_matches(text, '\S') AND text_hash IS NOT NULL),
+   h AS (SELECT DISTINCT profile_id, input_hash FROM vectors WHERE vector IS NOT NULL AND input_hash IS NOT NULL) SELECT p.profile_id, t.text_hash FROM p, t WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.profile_id = p.profile_id AND h.input_hash = t.text_hash)""")
 def _(spark, sf):
-    return reconcile.embedding_misses(load(spark, sf, "chunks"), load(spark, sf, "vectors"), "prf-text-01")
+    return reconcile.embedding_misses(load(spark, sf, "chunks"), load(spark, sf, "vectors"), load(spark, sf, "profiles").where("modality = 'text'"))
 
 
 @query("orphan_assets", "WITH s AS (SELECT DISTINCT asset FROM chunks WHERE asset IS NOT NULL) SELECT DISTINCT asset FROM s WHERE asset NOT IN (SELECT c.asset FROM chunks c JOIN files f ON f.active_revision_id = c.revision_id WHERE c.asset IS NOT NULL)")
@@ -559,13 +566,9 @@ def _(spark, sf):
 # ------------------------------------------------------------- media
 
 
-@query("transcript_clamp", r"WITH ck AS (SELECT DISTINCT ON (id) id, revision_id, text, locator.start_ms AS a, locator.end_ms AS b FROM chunks WHERE kind = 'transcript') SELECT id AS chunk_id, greatest(0, a) AS start_ms, least(b, 30000) AS end_ms FROM ck WHERE least(b, 30000) > greatest(0, a) AND regexp_matches(text, '\S')")
-def _(spark, sf):
-    c = catalog.once(load(spark, sf, "chunks").where("kind = 'transcript'").select("id", "text", F.col("locator.start_ms").alias("start_ms"), F.col("locator.end_ms").alias("end_ms")))
-    return media.clamp_segments(c, "start_ms", "end_ms", F.lit(30_000)).select(F.col("id").alias("chunk_id"), "start_ms", "end_ms")
-
-
-@query("transcript_clamp_recordings")  # transcript_clamp cuts all recordings at 30 s, as its SQL does
+@query("transcript_clamp", r"""WITH ck AS (SELECT DISTINCT ON (id) id, revision_id, kind, text, locator.start_ms AS a, locator.end_ms AS b FROM chunks WHERE kind IN ('transcript', 'frame')),
+   l AS (SELECT *, max(b) OVER (PARTITION BY revision_id) AS n FROM ck)
+   SELECT id AS chunk_id, greatest(0, a) AS start_ms, least(b, n) AS end_ms FROM l WHERE kind = 'transcript' AND least(b, n) > greatest(0, a) AND regexp_matches(text, '\S')""")
 def _(spark, sf):
     c = catalog.once(load(spark, sf, "chunks").where("kind in ('transcript', 'frame')").select("id", "revision_id", "kind", "text", F.col("locator.start_ms").alias("start_ms"), F.col("locator.end_ms").alias("end_ms")))
     return media.clamp_to_recordings(c).select(F.col("id").alias("chunk_id"), "start_ms", "end_ms")

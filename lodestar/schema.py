@@ -9,8 +9,6 @@ from pyspark.sql import types as T
 # Fixed values of the catalogue.
 KINDS = ("text", "code", "ocr", "image", "frame", "transcript")
 MODALITIES = ("text", "document", "presentation", "code", "image", "audio", "video")
-FILE_STATES = ("pending", "ready", "stale", "failed")
-JOB_STATES = ("queued", "running", "completed", "cancelled", "failed")
 TEXT_EXTENSIONS = (".txt", ".md", ".markdown")
 CODE_EXTENSIONS = (".py", ".java", ".js", ".ts", ".tsx", ".jsx", ".c", ".cpp", ".h", ".hpp", ".go", ".rs", ".sql")
 IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg")
@@ -20,10 +18,6 @@ PRESENTATION_EXTENSIONS = (".pptx", ".ppt")
 DOCUMENT_EXTENSIONS = (".pdf",)
 SUPPORTED = TEXT_EXTENSIONS + CODE_EXTENSIONS + IMAGE_EXTENSIONS + AUDIO_EXTENSIONS + VIDEO_EXTENSIONS + PRESENTATION_EXTENSIONS + DOCUMENT_EXTENSIONS
 EXCLUDED_NAMES = (".git", ".venv", "venv", "node_modules", "dist", "build", "__pycache__", ".lodestar", ".aws", ".ssh", ".codex", ".agents")
-ERROR_CODES = tuple(
-    "ASSET_UNAVAILABLE BINARY_FILE CANCELLED ENCRYPTED_PDF ENCRYPTED_PRESENTATION EXTRACTION_FAILED EXTRACTION_TIMEOUT EXTRACTOR_CRASHED FILE_TOO_LARGE IMAGE_TOO_LARGE IMAGE_UNREADABLE INDEX_BUSY INFERENCE_OOM INVALID_EMBEDDING INVALID_ROOT LEGACY_PPT_UNAVAILABLE MEDIA_DISABLED MEDIA_TOO_LONG MEDIA_UNAVAILABLE NETWORK_ROOT_DISABLED NOT_FOUND OCR_FAILED OCR_TIMEOUT OCR_UNAVAILABLE OVERLAPPING_ROOT PPT_CONVERSION_FAILED PRESENTATION_TOO_LARGE PRESENTATION_UNREADABLE PROCESSING_FAILED QUERY_TOO_LONG ROOT_UNAVAILABLE SCAN_INCOMPLETE SOURCE_BLOCKED SOURCE_CHANGED SOURCE_UNAVAILABLE TRANSCRIPTION_FAILED UNSUPPORTED_ENCODING VISION_DISABLED".split()
-)
-
 BOX = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("x", "y", "width", "height"))])
 LOCATOR = T.StructType(
     [
@@ -37,7 +31,6 @@ LOCATOR = T.StructType(
         *(T.StructField(c, T.LongType()) for c in ("start_ms", "end_ms")),
     ]
 )
-UNIT = T.StructType([T.StructField("text", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("locator", LOCATOR), T.StructField("symbol", T.StringType()), T.StructField("asset", T.StringType())])
 
 
 @dataclass(frozen=True)
