@@ -24,9 +24,9 @@ def indexed_rows(chunks: DataFrame, revisions: DataFrame, files: DataFrame) -> D
 
 
 def postings(rows: DataFrame, weights: tuple[int, int, int, int] = (1, 3, 1, 4)) -> DataFrame:
-    """``(term, chunk_id, f, dl)``: weighted frequency of a term in a row and the row's unweighted length.
+    """``(term, chunk_id, f, n, dl)``: weighted and plain frequency of a term in a row, and the row's plain length.
 
-    The length is counted before the terms are spread, so one shuffle builds both.
+    The length is counted before the terms are spread, so one shuffle builds all.
     """
     tokens = rows.select("chunk_id", *(index_tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in FIELDS))
     tokens = tokens.withColumn("dl", sum((F.size(c) for c in FIELDS[1:]), F.size(FIELDS[0])))
@@ -35,13 +35,15 @@ def postings(rows: DataFrame, weights: tuple[int, int, int, int] = (1, 3, 1, 4))
 
     marked = F.concat(*(weighted(c, w) for c, w in zip(FIELDS, weights)))
     spread = tokens.select("chunk_id", "dl", F.explode(marked).alias("t"))
-    return spread.groupBy(F.col("t.term").alias("term"), "chunk_id", "dl").agg(F.sum("t.w").alias("f"))
+    return spread.groupBy(F.col("t.term").alias("term"), "chunk_id", "dl").agg(F.sum("t.w").alias("f"), F.count("*").alias("n"))
 
 
-def corpus_stats(rows: DataFrame) -> DataFrame:
-    """One row: number of index rows, of tokens, and mean length."""
-    n = sum((F.size(index_tokens(F.coalesce(F.col(c), F.lit("")))) for c in FIELDS[1:]), F.size(index_tokens(F.coalesce(F.col(FIELDS[0]), F.lit("")))))
-    return rows.agg(F.count("*").alias("rows"), F.sum(n).cast("long").alias("tokens"), F.avg(n).alias("mean_length"))
+def corpus_stats(rows: DataFrame, postings_: DataFrame) -> DataFrame:
+    """One row: number of index rows, of tokens, and mean length. The texts are not split again: the postings have counted them."""
+    counted = rows.agg(F.count("*").alias("rows"))
+    total = postings_.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
+    mean = F.when(F.col("rows") > 0, F.col("tokens") / F.col("rows"))
+    return counted.crossJoin(total).select("rows", "tokens", mean.alias("mean_length"))  # two tables of one row
 
 
 def terms_of(queries: DataFrame, key: str = "query_id", text: str = "query") -> DataFrame:
@@ -51,19 +53,29 @@ def terms_of(queries: DataFrame, key: str = "query_id", text: str = "query") ->
     return folded.distinct()
 
 
-def bm25(terms: DataFrame, postings_: DataFrame, stats: DataFrame, k1: float = 1.2, b: float = 0.75, key: str = "query_id") -> DataFrame:
+def bm25(terms: DataFrame, postings_: DataFrame, stats: DataFrame, allowed: DataFrame | None = None, k1: float = 1.2, b: float = 0.75, key: str = "query_id", per_salt: int = 250_000) -> DataFrame:
     """``(query_id, chunk_id, score, matched)``; lower is better. Statistics are of all index rows, whatever is eligible.
 
-    A term in half of the rows or more keeps a small positive weight. Terms that no row has add nothing.
+    ``allowed``: ``chunk_id`` and, if ``terms`` has a ``scope``, the row's own ``_own``; rows that are not eligible leave before anything is
+    scored. A term in half of the rows or more keeps a small positive weight. Terms that no row has add nothing. A term that
+    stands in very many rows is met in as many salted parts as the index has ``per_salt`` rows.
     """
-    one = stats.select(F.col("rows").alias("_n"), F.col("mean_length").alias("_avg"))
+    one = stats.first()  # one row
+    salts = max(1, -(-int(one["rows"] or 0) // per_salt))
     wanted = postings_.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("_df")).join(F.broadcast(one))  # statistics are one row
-    idf = F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    df = df.select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("_idf"), "_avg")
-    weight = F.col("_idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("_avg")))
-    hits = wanted.join(df, "term").select("term", "chunk_id", weight.alias("w")).join(terms.select(key, "term"), "term")
-    return hits.groupBy(key, "chunk_id").agg(F.round(-F.sum("w"), 9).alias("score"), F.count("*").alias("matched"))
+    df = wanted.groupBy("term").agg(F.count("*").alias("_df"))
+    idf = F.log((F.lit(one["rows"]) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    scoped = "scope" in terms.columns
+    asked = terms.join(df, "term").select(key, "term", *(["scope"] if scoped else []), F.when(idf <= 0, 1e-6).otherwise(idf).alias("_idf"))
+    asked = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if allowed is not None:
+        wanted = wanted.join(allowed.select("chunk_id", "_own"), "chunk_id") if scoped else wanted.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
+    part = F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.lit(float(one["mean_length"] or 1.0))))
+    wanted = wanted.select("term", "chunk_id", *(["_own"] if scoped and allowed is not None else []), part.alias("_part"), F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int").alias("_salt"))
+    hits = wanted.join(asked, ["term", "_salt"])
+    if scoped and allowed is not None:
+        hits = hits.where(F.col("scope").isNull() | (F.col("scope") == F.col("_own")))
+    return hits.groupBy(key, "chunk_id").agg(F.round(-F.sum(F.col("_idf") * F.col("_part")), 9).alias("score"), F.count("*").alias("matched"))
 
 
 def top(scored: DataFrame, k: int, key: str = "query_id", item: str = "chunk_id", best_first: str = "asc") -> DataFrame:
@@ -93,12 +105,10 @@ def answers(queries: DataFrame, postings_: DataFrame, stats: DataFrame, allowed:
     ``allowed``: ``chunk_id`` and, with ``scopes`` (``query_id, scope``), its ``scope``; a null scope of a query allows all.
     """
     members, asked = classes(terms_of(queries), scopes)
-    hits = bm25(asked.select(key, "term"), postings_, stats)
     if scopes is None:
-        hits = hits.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
+        hits = bm25(asked.select(key, "term"), postings_, stats, allowed)
     else:
-        hits = hits.join(allowed.select("chunk_id", F.col("scope").alias("_own")), "chunk_id").join(asked.select(key, "scope").distinct(), key)
-        hits = hits.where(F.col("scope").isNull() | (F.col("scope") == F.col("_own"))).drop("_own", "scope")
+        hits = bm25(asked, postings_, stats, allowed.select("chunk_id", F.col("scope").alias("_own")))
     by = hits if order == "score" else hits.withColumn("_s", F.col("score")).withColumn("score", -F.col("matched"))
     best = top(by, k)
     best = best if order == "score" else best.withColumn("score", F.col("_s")).drop("_s")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.numeric import hashed_vector
@@ -24,15 +24,37 @@ class Index:
     vectors: DataFrame
 
 
-def build(spark, sf_dir: str, settings: Settings | None = None) -> Index:
+_built: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def terms_index(spark: SparkSession, sf_dir: str, weights: tuple[int, int, int, int] = Settings.field_weights) -> tuple[DataFrame, DataFrame]:
+    """``(postings, statistics)`` of a catalogue, written once per application and shared by its searches.
+
+    The tables they are made from are known by path and time of change, so a catalogue that is written anew is indexed anew.
+    """
+    jvm = spark._jvm
+    stamps = []
+    for table in ("chunks", "revisions", "files"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        stamps.append((table, status.getModificationTime(), status.getLen()))
+    key = (spark.sparkContext.applicationId, sf_dir, weights, *stamps)
+    if key not in _built:
+        rows = lexical.indexed_rows(*(load(spark, sf_dir, t) for t in ("chunks", "revisions", "files")))
+        posts = written(lexical.postings(rows, weights), "postings")
+        _built[key] = posts, written(lexical.corpus_stats(rows, posts), "stats")
+    return _built[key]
+
+
+def build(spark: SparkSession, sf_dir: str, settings: Settings | None = None) -> Index:
     """The index of a catalogue, its parts written once; vectors are those of the offline encoder."""
     s = settings or Settings()
     files, revisions, roots, chunks = (load(spark, sf_dir, t) for t in ("files", "revisions", "roots", "chunks"))
     live = catalog.live_files(files, revisions, roots)
     own = written(catalog.live_chunks(chunks, live), "live-chunks")
-    rows = lexical.indexed_rows(chunks, revisions, files)
+    posts, stats = terms_index(spark, sf_dir, s.field_weights)
     vec = own.where(F.col("text").rlike(r"\S")).select("chunk_id", hashed_vector(F.col("text")).alias("v"))
-    return Index(own, written(lexical.postings(rows, s.field_weights), "postings"), written(lexical.corpus_stats(rows), "stats"), written(vec, "vectors"))
+    return Index(own, posts, stats, written(vec, "vectors"))
 
 
 def lexical_branch(index: Index, queries: DataFrame, s: Settings, allowed: DataFrame | None = None) -> DataFrame:

@@ -237,12 +237,12 @@ def _(spark, sf):
 
 @query("corpus_stats", f"WITH {_LIVE}, {_QT}, {_IX} SELECT n AS rows, (SELECT CAST(sum(dl) AS BIGINT) FROM tl) AS tokens, round(av, 6) AS mean_length FROM st")
 def _(spark, sf):
-    return lexical.corpus_stats(_rows(spark, sf)).withColumn("mean_length", F.round("mean_length", 6))
+    rows = _rows(spark, sf)
+    return lexical.corpus_stats(rows, lexical.postings(rows)).withColumn("mean_length", F.round("mean_length", 6))
 
 
 def _answers(spark, sf, live, k, **kw):
-    rows = _rows(spark, sf)
-    return lexical.answers(_queries(spark, sf), written(lexical.postings(rows), "postings"), lexical.corpus_stats(rows), live, k, **kw)
+    return lexical.answers(_queries(spark, sf), *search.terms_index(spark, sf), live, k, **kw)
 
 
 @query(
@@ -339,8 +339,7 @@ _LEX = f"""WITH {_LIVE}, {_QT}, {_IX}, lx AS (SELECT * FROM (SELECT query_id, ch
 
 def _branches(spark, sf):
     live = written(catalog.live_chunks(load(spark, sf, "chunks"), _live(spark, sf), ("kind", "text_hash")), "live")
-    rows = _rows(spark, sf)
-    posts, stats = written(lexical.postings(rows), "postings"), written(lexical.corpus_stats(rows), "stats")
+    posts, stats = search.terms_index(spark, sf)
     q = _queries(spark, sf)
     by_score, by_count = (lexical.answers(q, posts, stats, live, 50, order=o).select("query_id", "chunk_id", "rank") for o in ("score", "matched"))
     return live, by_score, by_count

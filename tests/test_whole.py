@@ -35,7 +35,7 @@ def test_transcripts_of_long_recordings(spark, tmp_path):
         chunk(7, 8, 1, "transcript", "empty", start_ms=2000, end_ms=2000),
         chunk(8, None, 0, "transcript", "of no revision", start_ms=90_000, end_ms=91_000),
     ]
-    got = run(spark, tmp_path, "transcript_clamp_recordings", chunks=spark.createDataFrame(rows, CHUNK)).collect()
+    got = run(spark, tmp_path, "transcript_clamp", chunks=spark.createDataFrame(rows, CHUNK)).collect()
     assert sorted(map(tuple, got)) == [(1, 0, 20_000), (2, 20_000, 40_000), (3, 3_600_000, 3_601_000), (6, 1000, 2000), (8, 90_000, 91_000)]
 
 
@@ -45,7 +45,7 @@ def test_hydrates_every_kind(spark, tmp_path):
     got = run(
         spark,
         tmp_path,
-        "hydrate_all",
+        "hydrate_candidates",
         chunks=spark.createDataFrame(rows, CHUNK),
         roots=spark.createDataFrame([(1, "/r", True, "ready")], "id long, path string, enabled boolean, status string"),
         revisions=spark.createDataFrame([(7, 3, "s", "p"), (8, 3, "t", "p")], "id long, file_id long, sha256 string, pipeline_hash string"),
