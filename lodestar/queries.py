@@ -273,11 +273,11 @@ def _(spark, sf):
     return _queries(spark, sf).select("query_id", (n == 1).alias("keyword_only"), (n == 0).alias("meaning_only"))
 
 
-@query("hybrid_min_two_terms")
+@query("hybrid_min_two_terms", "@two")
 def _(spark, sf):
     index = search.build(spark, sf)
     q = _queries(spark, sf)
-    return search.two_terms(search.lexical_branch(index, q, Settings()), q, index.chunks).select("query_id", "chunk_id", "rank")
+    return search.two_terms(search.lexical_branch(index, q, Settings()), q, index.chunks).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
 # ------------------------------------------------------------- vectors
@@ -397,9 +397,79 @@ def _(spark, sf):
     return fusion.match_kind(both, fa, fb)
 
 
-@query("hybrid_search")
-def _(spark, sf):
-    return search.hybrid(search.build(spark, sf), _queries(spark, sf).select("query_id", "query"))
+def _hashed_sql(name: str, table: str, key: str, text_: str, dim: int) -> str:
+    """The offline encoder's vectors, place by place."""
+    return rf"""{name}_t AS (SELECT {key}, regexp_extract_all(lower(strip_accents({text_})), '{_TOK}') AS ts FROM {table}),
+   {name}_n AS (SELECT {key}, CAST(('0x' || right(sha256(t), 2)) AS INT) % {dim} AS place, count(*) AS n FROM (SELECT {key}, unnest(ts) AS t FROM {name}_t) GROUP BY ALL),
+   {name} AS (SELECT {key}, place, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS v FROM {name}_n UNION ALL SELECT {key}, 0, 1.0 FROM {name}_t WHERE len(ts) = 0)"""
+
+
+_BODY = "concat_ws(' ', lc.text, lc.name, lc.relative_path, lc.symbol)"
+#: Branches of search and the steps from them to results, as SQL.
+_TERMS = f"""WITH {_LIVE}, {_QT}, {_IX}, lx AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS rank FROM bm WHERE chunk_id IN (SELECT chunk_id FROM lc)) WHERE rank <= 50)"""
+_TWO = rf""", bw AS (SELECT lc.chunk_id, list_distinct(list_transform(list_concat(regexp_extract_all({_BODY}, '{_TOK}'), regexp_extract_all(regexp_replace({_BODY}, '([a-z])([A-Z])', '\1 \2', 'g'), '{_TOK}')), lambda t: lower(t))) AS ws FROM lc WHERE lc.chunk_id IN (SELECT chunk_id FROM lx)),
+   tw AS (SELECT lx.query_id, chunk_id, lx.score, row_number() OVER (PARTITION BY lx.query_id ORDER BY lx.rank) AS rank FROM lx JOIN qt USING (query_id) JOIN bw USING (chunk_id) WHERE len(ts) <= 1 OR len(list_intersect(ts, ws)) >= 2)"""
+_MEAN = ", " + _hashed_sql("hc", "(SELECT chunk_id, text FROM lc WHERE regexp_matches(text, '\\S'))", "chunk_id", "text", 32) + ", " + _hashed_sql("hq", "(SELECT query_id, query FROM qs WHERE query IS NOT NULL)", "query_id", "query", 32) + """,
+   sc AS (SELECT hq.query_id, hc.chunk_id, round(sum(hq.v * hc.v), 9) AS score FROM hq JOIN hc USING (place) GROUP BY ALL),
+   me AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc) WHERE rank <= 50 AND score >= 0.35)"""
+_SEEN = ", " + _hashed_sql("hv", "(SELECT query_id, query FROM qs WHERE query IS NOT NULL)", "query_id", "query", 64) + """,
+   pv AS (SELECT v.chunk_id, arg_min(v.vector, v.id) AS x FROM vectors v WHERE v.profile_id IN (SELECT id FROM profiles WHERE modality = 'image' AND dimension = 64) AND len(v.vector) = 64 AND len(list_filter(v.vector, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+     AND abs(sqrt(list_dot_product(list_transform(v.vector, lambda e: CAST(e AS DOUBLE)), list_transform(v.vector, lambda e: CAST(e AS DOUBLE)))) - 1) <= 1e-3 AND v.chunk_id IN (SELECT chunk_id FROM lc) GROUP BY v.chunk_id),
+   sv AS (SELECT hv.query_id, pv.chunk_id, round(sum(hv.v * CAST(pv.x[hv.place + 1] AS DOUBLE)), 9) AS score FROM hv, pv GROUP BY ALL),
+   se AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sv) WHERE rank <= 50 AND score >= 0.28)"""
+_FUSE = """, fu AS (SELECT query_id, chunk_id, round(sum(1 / (60 + rank)), 12) AS score FROM (SELECT query_id, chunk_id, rank FROM tw UNION ALL SELECT query_id, chunk_id, rank FROM me WHERE query_id NOT IN (SELECT query_id FROM qt WHERE len(ts) = 1)) GROUP BY ALL),
+   tr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fu)"""
+
+
+def _results_sql(ranking: str) -> str:
+    """Results from a ranking of passages: files by their best, one for each content, ten at most."""
+    return f""", rf AS (SELECT query_id, file_id, any_value(sha256) AS sha256, min(rank) AS r FROM {ranking} JOIN lc USING (chunk_id) GROUP BY ALL), rd AS (SELECT *, row_number() OVER (PARTITION BY query_id, sha256 ORDER BY r, file_id) AS c FROM rf),
+   rp AS (SELECT query_id, file_id, row_number() OVER (PARTITION BY query_id ORDER BY r, file_id) AS place FROM rd WHERE c = 1 OR sha256 IS NULL)"""
+
+
+def _searched(request: search.Request) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        found = search.search(search.build(spark, sf), _queries(spark, sf).select("query_id", "query"), request)
+        return found.select("query_id", F.col("place").cast("long").alias("place"), "file_id", "match_kind", "ranking", F.transform("evidence", lambda e: e["chunk_id"])[0].alias("chunk_id"))
+
+    return run
+
+
+_SHOWN = "SELECT rp.query_id, place, rp.file_id, {kind} AS match_kind, {name} AS ranking, (SELECT arg_min(chunk_id, {r}.rank) FROM {r} JOIN lc USING (chunk_id) WHERE {r}.query_id = rp.query_id AND lc.file_id = rp.file_id) AS chunk_id FROM rp WHERE place <= 10"
+_SQL["hybrid_min_two_terms"] = _TERMS + _TWO + " SELECT query_id, chunk_id, lx.rank FROM lx JOIN tw USING (query_id, chunk_id)"
+query("search_lexical", _TERMS + _results_sql("lx") + " " + _SHOWN.format(kind="'terms'", name="'lexical'", r="lx"))(_searched(search.Request("lexical")))
+query("search_semantic", _TERMS + _MEAN + _results_sql("me") + " " + _SHOWN.format(kind="'semantic'", name="'semantic'", r="me"))(_searched(search.Request("semantic", "text")))
+query(
+    "search_filtered",
+    _TERMS.replace("SELECT chunk_id FROM lc))", "SELECT chunk_id FROM lc WHERE modality = 'code' AND lower(extension) = '.py'))") + _results_sql("lx") + " " + _SHOWN.format(kind="'terms'", name="'lexical'", r="lx"),
+)(_searched(search.Request("lexical", filters={"modality": "code", "extension": ".py"})))
+query(
+    "search_vision",
+    _TERMS + _SEEN + ", vf AS (SELECT query_id, file_id, any_value(sha256) AS sha256, min(rank) AS r FROM se JOIN lc USING (chunk_id) GROUP BY ALL)" + _results_sql("se") + " " + _SHOWN.format(kind="'visual'", name="'multimodal_rrf'", r="se"),
+)(_searched(search.Request("semantic", "vision")))
+query(
+    "hybrid_search",
+    _TERMS + _TWO + _MEAN + _FUSE + _results_sql("tr") + """ SELECT rp.query_id, place, rp.file_id, CASE WHEN (rp.query_id, rp.file_id) IN (SELECT query_id, file_id FROM tw JOIN lc USING (chunk_id)) THEN 'terms' ELSE 'semantic' END AS match_kind,
+   CASE WHEN rp.query_id IN (SELECT query_id FROM qt WHERE len(ts) = 1) THEN 'lexical' ELSE 'hybrid' END AS ranking, (SELECT arg_min(chunk_id, tr.rank) FROM tr JOIN lc USING (chunk_id) WHERE tr.query_id = rp.query_id AND lc.file_id = rp.file_id) AS chunk_id FROM rp WHERE place <= 10""",
+)(_searched(search.Request("hybrid", "text")))
+
+
+@query("search_reranked")  # rows only: the order of the fusion is compared by hybrid_search, that of the head by rerank_head
+def _(spark, sf):
+    return _searched(search.Request("hybrid", "all", rerank=True))(spark, sf)
+
+
+@query("search_multimodal", _TERMS + _TWO + _MEAN + _SEEN + _FUSE + """, pq AS (SELECT DISTINCT query_id FROM se WHERE query_id NOT IN (SELECT query_id FROM qt WHERE len(ts) = 1)),
+   fx AS (SELECT query_id, file_id, row_number() OVER (PARTITION BY query_id ORDER BY r, file_id) AS rank, w FROM (
+     SELECT query_id, file_id, min(rank) AS r, 1.0 AS w FROM tw JOIN lc USING (chunk_id) GROUP BY ALL) UNION ALL
+     SELECT query_id, file_id, row_number() OVER (PARTITION BY query_id ORDER BY r, file_id), w FROM (SELECT query_id, file_id, min(rank) AS r, 1.0 AS w FROM me JOIN lc USING (chunk_id) GROUP BY ALL) UNION ALL
+     SELECT query_id, file_id, row_number() OVER (PARTITION BY query_id ORDER BY r, file_id), w FROM (SELECT query_id, file_id, min(rank) AS r, 0.35 AS w FROM se JOIN lc USING (chunk_id) GROUP BY ALL)),
+   ff AS (SELECT query_id, file_id, round(sum(w / (60 + rank)), 12) AS score FROM fx WHERE query_id IN (SELECT query_id FROM pq) GROUP BY ALL),
+   al AS (SELECT query_id, file_id, -score AS r FROM ff UNION ALL SELECT query_id, file_id, min(rank) FROM tr JOIN lc USING (chunk_id) WHERE query_id NOT IN (SELECT query_id FROM pq) GROUP BY ALL),
+   ad AS (SELECT al.*, row_number() OVER (PARTITION BY query_id, sha256 ORDER BY r, file_id) AS c FROM al JOIN lf USING (file_id))
+   SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY r, file_id) AS place, file_id FROM ad WHERE c = 1) WHERE place <= 10""")
+def _(spark, sf):
+    return _searched(search.Request("hybrid", "all"))(spark, sf).select("query_id", "place", "file_id")
 
 
 # ------------------------------------------------------------- reconciliation and jobs
