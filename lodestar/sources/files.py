@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import hashlib
 import os
 import re
 from collections.abc import Iterator
@@ -49,9 +50,58 @@ def listing(spark: SparkSession, root: str, exclusions: list[str] | None = None)
     return spark.createDataFrame(rows, "relative_path string, name string, extension string, size long, mtime_ns long"), whole
 
 
-def contents(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Files of a shared folder with their bytes, read by the executors; without ``content`` only their metadata is read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+READ = "relative_path string, sha256 string, content binary, error string"
+
+
+def contents(listed: DataFrame, root: str) -> DataFrame:
+    """The bytes and digests of listed files, read by the executors one by one from the shared folder ``root``.
+
+    ``listed``: ``relative_path, size, mtime_ns``. A file whose size or time is no longer that of the listing when it has been read has the error
+    SOURCE_CHANGED, one that is gone SOURCE_UNAVAILABLE, one that leads out of the folder SOURCE_BLOCKED; these have no content.
+    """
+
+    def read(path: str, size: int, mtime_ns: int) -> tuple[str | None, bytes | None, str | None]:
+        full = os.path.join(root, path)
+        if not contained(root, full):
+            return None, None, "SOURCE_BLOCKED"
+        try:
+            with open(full, "rb") as f:
+                data = f.read()
+            now = os.stat(full)
+        except OSError:
+            return None, None, "SOURCE_UNAVAILABLE"
+        if (now.st_size, now.st_mtime_ns) != (size, mtime_ns) or len(data) != size:
+            return None, None, "SOURCE_CHANGED"
+        return hashlib.sha256(data).hexdigest(), data, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 64):  # bounds the bytes held at once
+                part = batch.slice(first, 64)
+                rows = [read(*x) for x in zip(*(c.to_pylist() for c in part.columns))]
+                sha, data, error = zip(*rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sha, pa.string()), pa.array(data, pa.binary()), pa.array(error, pa.string())], names=["relative_path", "sha256", "content", "error"])
+
+    return listed.select("relative_path", "size", "mtime_ns").mapInArrow(run, READ)
+
+
+def contained(root: str, path: str) -> bool:
+    """Whether a path lies below a folder and no link leads to it."""
+    root = os.path.abspath(root)
+    path = os.path.abspath(path)
+    if os.path.commonpath([root, path]) != root:
+        return False
+    return os.path.realpath(path) == os.path.join(os.path.realpath(root), os.path.relpath(path, root)) if path != root else True
+
+
+def source_state(catalog: DataFrame, listed: DataFrame) -> DataFrame:
+    """``(file_id, state)``: ok, SOURCE_CHANGED if size or time differ from the catalogue's, SOURCE_UNAVAILABLE if the file is gone.
+
+    ``catalog``: ``file_id, path_key, size, mtime_ns``; ``listed``: ``path_key, size, mtime_ns``, each path once.
+    """
+    now = listed.select("path_key", F.col("size").alias("_s"), F.col("mtime_ns").alias("_t"))
+    same = (F.col("_s") == F.col("size")) & (F.col("_t") == F.col("mtime_ns"))
+    return catalog.join(now, "path_key", "left").select("file_id", F.when(F.col("_s").isNull(), "SOURCE_UNAVAILABLE").when(same, "ok").otherwise("SOURCE_CHANGED").alias("state"))
 
 
 def digest(content: Column) -> Column:

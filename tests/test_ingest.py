@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import os
 
+import pytest
+
 from lodestar.plans import ingest, search
 from lodestar.plans.generations import Generations
 
@@ -28,3 +30,35 @@ def test_index_and_search(spark, tmp_path, capsys):
     q = spark.createDataFrame([("a", "mutex"), ("b", "rank fusion"), ("c", "graphs"), ("d", None)], "query_id string, query string")
     got = {r.query_id: r for r in search.hybrid(search.build(spark, held.folder()), q).where("place = 1").collect()}
     assert got["a"].relative_path == "semaphores.md" and got["a"].match_kind == "terms" and got["b"].relative_path == "search.py" and "d" not in got
+
+
+def test_again(spark, tmp_path):
+    """Unchanged files are not opened, touched ones read but kept, equal contents lent; a lost folder keeps its files."""
+    root = tmp_path / "notes"
+    root.mkdir()
+    (root / "a.md").write_text("# A\n\nA counting semaphore protects permits.\n")
+    (root / "b.py").write_text("def rank(a):\n    return a\n")
+    held = Generations(spark, f"file://{tmp_path}/catalog")
+    assert ingest.index(spark, str(root), held) == {"extract": 2}
+    before = {r.relative_path: r.asDict() for r in held.read("files").collect()}
+    os.chmod(root / "a.md", 0o000)
+    assert ingest.index(spark, str(root), held) == {"skipped": 2}
+    os.chmod(root / "a.md", 0o644)
+    os.utime(root / "a.md", ns=(1, 1))
+    (root / "c.md").write_text("# A\n\nA counting semaphore protects permits.\n")
+    assert ingest.index(spark, str(root), held) == {"skipped": 1, "reuse_checked": 1, "extract": 1}
+    after = {r.relative_path: r.asDict() for r in held.read("files").collect()}
+    assert after["a.md"]["mtime_ns"] == 1 and after["a.md"]["active_revision_id"] == before["a.md"]["active_revision_id"]
+    texts = {r.relative_path: r.text for r in held.read("chunks").join(held.read("files").withColumnRenamed("id", "f").withColumnRenamed("active_revision_id", "revision_id"), "revision_id").select("relative_path", "text").collect()}
+    assert texts["c.md"] == texts["a.md"]
+    assert ingest.index(spark, str(root), held, forced=["b.py"]) == {"skipped": 2, "reuse_checked": 1}
+    with held.writing(), pytest.raises(RuntimeError, match="INDEX_BUSY"):
+        ingest.index(spark, str(root), held)
+    with pytest.raises(ValueError, match="OVERLAPPING_ROOT"):
+        (root / "sub").mkdir()
+        ingest.index(spark, str(root / "sub"), held)
+    os.rename(root, tmp_path / "elsewhere")
+    assert ingest.index(spark, str(root), held) == {"unavailable": 1}
+    assert held.read("roots").first().status == "unavailable" and held.read("files").count() == 3
+    assert ingest.forget(held, str(root)) == {"roots": 0, "files": 0, "revisions": 0, "chunks": 0}
+    assert held.retire(1) and held.current()["generation"] > 4
