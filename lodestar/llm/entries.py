@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm import code_files, functions, mix, pack, quality, scans, similar, split_items, splits
+from lodestar.llm import code_files, functions, mix, pack, quality, scans, similar, split_items, splits, tokens
 from lodestar.plans.storage import load, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,12 +104,72 @@ def p9_measures(spark: SparkSession, sf: str) -> DataFrame:
     return stats.select("doc_id", "language", "words", *(F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "mean_line_words", "variety", "letter_ratio")))
 
 
+# Properties of whole results, for comparison with SQL: what must hold of every row, whatever the operator's choices.
+
+
+def p1_properties(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each chunk: whether it was too large, all pieces keep the limits, nothing but blanks is lost, and overlaps are at most 32 tokens."""
+    chunks = load(spark, sf, "chunks").select("id", "text").dropDuplicates(["id"])
+    pieces = split_items.split_items(chunks, "id", "text")
+    tokens = lambda c: F.size(F.regexp_extract_all(c, F.lit("[^ \t\n\r]+"), F.lit(0)))
+    by = Window.partitionBy("id").orderBy("piece")
+    full = pieces.join(chunks, "id").withColumn("_end", F.lag("stop", 1, 0).over(by)).withColumn("_next", F.lead("start").over(by))
+    gap = F.when(F.col("start") > F.col("_end"), F.expr("substring(text, _end + 1, start - _end)")).otherwise("")
+    tail = F.when(F.col("_next").isNull(), F.expr("substring(text, stop + 1)")).otherwise("")
+    shared = F.when(F.col("start") < F.col("_end"), F.expr("substring(text, start + 1, _end - start)")).otherwise("")
+    blank = lambda c: ~c.rlike("[^ \t\n\r]")
+    whole = full.groupBy("id").agg(
+        F.bool_and((tokens(F.col("piece_text")) <= 192) & (F.length("piece_text") <= 2000)).alias("within"),
+        F.bool_and(blank(gap) & blank(tail) & (F.col("piece_text") == F.expr("substring(text, start + 1, stop - start)"))).alias("covered"),
+        F.bool_and(tokens(shared) <= 32).alias("overlaps"),
+    )
+    out = chunks.select(F.col("id").alias("chunk_id")).join(whole, F.col("chunk_id") == F.col("id"), "left")
+    return out.select("chunk_id", F.col("id").isNotNull().alias("oversized"), *(F.coalesce(c, F.lit(True)).alias(c) for c in ("within", "covered", "overlaps")))
+
+
+def p5_properties(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each query: how many are related to it, itself included, and in how many splits they are."""
+    dealt = written(p5_splits(spark, sf), "splits-dealt")
+    whole = dealt.groupBy("component").agg(F.count("*").alias("related"), F.count_distinct("split").alias("splits"))
+    return dealt.join(whole, "component").select("query_id", "related", "splits")
+
+
+def p7_properties(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: containers too full, pieces packed twice, documents cut though they fit, and documents packed."""
+    packed = written(pack.pack_documents(load(spark, sf, "documents")), "packed")
+    full = packed.groupBy("container").agg(F.sum("tokens").alias("n")).agg(F.count_if(F.col("n") > 2048).alias("overfull"))
+    docs = packed.groupBy("doc_id").agg(F.sum("tokens").alias("n"), F.count("*").alias("pieces"), F.count_distinct("piece").alias("ways"))
+    rest = docs.agg(F.count_if(F.col("pieces") > F.col("ways")).alias("twice"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= 2048)).alias("cut"), F.count("*").alias("documents"))
+    return full.crossJoin(rest)  # two tables of one row
+
+
+def p8_properties(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each source: its documents, and whether none is used more often than allowed, and the mixture as large as the corpus to 2 % (a draw of whole documents)."""
+    drawn, report = mix.mixture(load(spark, sf, "documents"), load(spark, sf, "source_targets"))
+    drawn, report = written(drawn, "mix"), written(report, "mix-report")
+    most = drawn.groupBy("source").agg(F.max("copies").alias("most"))
+    size = drawn.agg(F.sum(F.col("tokens") * F.col("copies")).alias("_mixed"))
+    corpus = tokens.token_sizes(load(spark, sf, "documents").select("doc_id", "text"), "text", ["doc_id"]).agg(F.sum("tokens").alias("_all"))
+    whole = size.crossJoin(corpus).select((F.abs(F.col("_mixed") - F.col("_all")) <= 0.02 * F.col("_all")).alias("whole"))  # single rows
+    return report.join(most, "source", "left").crossJoin(whole).select("source", "documents", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), "whole")
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_properties": r"""SELECT DISTINCT id AS chunk_id, coalesce(length(text) > 2000 OR len(regexp_extract_all(text, '[^ \t\n\r]+')) > 192, false) AS oversized, true AS within, true AS covered, true AS overlaps FROM chunks""",
+        "p5_properties": r"""
+            WITH RECURSIVE hubs AS (SELECT DISTINCT id, 'f' || regexp_replace(lower(strip_accents(family)), '[^\p{L}\p{N}]', '', 'g') AS hub FROM queries WHERE regexp_matches(family, '[\p{L}\p{N}]')
+              UNION SELECT DISTINCT query_id, 'p' || regexp_replace(replace(path, '\', '/'), '^(\./+)+', '') FROM judgments WHERE path IS NOT NULL AND query_id IN (SELECT id FROM queries)),
+            edges AS (SELECT DISTINCT a.id AS a, b.id AS b FROM hubs a JOIN hubs b USING (hub)), reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+            SELECT q.id AS query_id, CASE WHEN count(r.b) = 0 THEN 1 ELSE count(DISTINCT r.b) END AS related, 1 AS splits FROM (SELECT DISTINCT id FROM queries) q LEFT JOIN reach r ON r.a = q.id GROUP BY q.id""",
+        "p7_properties": r"""SELECT 0 AS overfull, 0 AS twice, 0 AS cut, (SELECT count(*) FROM documents WHERE text <> '') AS documents""",
+        "p8_properties": r"""
+            WITH n AS (SELECT regexp_replace(regexp_replace(lower(trim(source)), '[^\p{L}\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g') AS k, count(*) AS documents FROM documents GROUP BY ALL)
+            SELECT t.source, coalesce(n.documents, 0) AS documents, true AS within_repeats, true AS whole FROM (SELECT DISTINCT source FROM source_targets) t LEFT JOIN n ON n.k = regexp_replace(regexp_replace(lower(trim(t.source)), '[^\p{L}\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g')""",
         "p9_measures": r"""
             WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lower(trim(lang)) AS declared FROM documents),
             a AS (SELECT doc_id, t, declared, regexp_replace(t, '[\s\p{Z}]+', '', 'g') AS solid, regexp_extract_all(lower(t), '\p{L}+(?:[''’]\p{L}+)?') AS ws,
