@@ -72,13 +72,31 @@ def _place(word: str, dimension: int) -> int:
 
 
 def word_edits(a: Column, b: Column) -> Column:
-    """Edits between two texts as words: words become letters, so that the built-in distance counts words."""
+    """Edits between two texts as words: each different word becomes one character beyond the first plane, of which there are a
+    million, so that the built-in distance counts words. Null texts: null."""
     x, y = (F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9]+"), F.lit(0)) for t in (a, b))
     known = F.array_distinct(F.concat(x, y))
-    letters = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x4E00), 4, "0")), "UTF-16BE")), "")
+    letters = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")), "UTF-32")), "")
     return F.levenshtein(letters(x), letters(y))
 
 
+def profile_identity(model: Column, revision: Column, dimension: Column, config: Column, modality: Column) -> Column:
+    """The identity of an encoder: 24 hexadecimal digits of the digest of its description as JSON with sorted keys."""
+    whole = F.to_json(F.struct(F.coalesce(config, F.lit("")).alias("config"), dimension.alias("dimension"), modality.alias("modality"), model.alias("model"), revision.alias("revision")))
+    return F.substring(F.sha2(whole, 256), 1, 24)
+
+
+def clamped_ms(seconds: Column, duration: Column | None = None) -> Column:
+    """Seconds as whole milliseconds, cut toward zero, not below 0 and not beyond ``duration`` (milliseconds)."""
+    ms = F.greatest(F.lit(0).cast("long"), (seconds * 1000).cast("long"))
+    return ms if duration is None else F.least(ms, duration)
+
+
+def epoch_ns(moment: Column) -> Column:
+    """A timestamp as nanoseconds since 1970, to the microsecond."""
+    return F.unix_micros(moment) * 1000
+
+
 def bit_mask(vector: Column) -> Column:
     """A 64-bit hash: bit i is set where element i reaches the mean of the first 64."""
     first = F.slice(vector, 1, 64)

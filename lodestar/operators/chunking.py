@@ -81,7 +81,7 @@ def chunk_units(units: DataFrame, key: str, budget: int = 192, overlap: int = 32
                     at.append(i)
                     up = text.count("\n", 0, a)
                     first = None if line is None else line + up
-                    rows.append((unit, n, (base or 0) + a, (base or 0) + b, first, None if line is None else first + text.count("\n", a, b), kind, text[a:b]))
+                    rows.append((unit, n, None if line is None else (base or 0) + a, None if line is None else (base or 0) + b, first, None if line is None else first + text.count("\n", a, b), kind, text[a:b]))
             cols = list(zip(*rows)) if rows else [()] * 8
             kinds = [pa.int32()] * 6 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=schema.names)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +42,33 @@ def metrics(results: DataFrame, judgments: DataFrame, queries: DataFrame, k: int
     )
 
 
-def span_matches(actual: Column, expected: Column) -> Column:
-    """Whether a passage covers a judged span: equal page, overlapping lines; an expected end defaults to its start."""
-    page = expected["page"].isNull() | (actual["page"].eqNullSafe(expected["page"]))
-    end = F.coalesce(expected["line_end"], expected["line_start"])
-    lines = expected["line_start"].isNull() | F.coalesce((actual["line_start"] <= end) & (actual["line_end"] >= expected["line_start"]), F.lit(False))
-    return page & lines
+def span_matches(actual: Column, expected: Column, has: Sequence[str] = ("page", "line_start")) -> Column:
+    """Whether a passage covers a judged span: equal slide, section and page, overlapping lines, times and characters.
+
+    ``has``: the fields that the judged span's struct has. What is null in it is not asked for; an expected end defaults to its
+    start; what a passage lacks does not match.
+    """
+    out = F.lit(True)
+    for c in ("slide", "section", "page"):
+        if c in has:
+            out = out & (expected[c].isNull() | actual[c].eqNullSafe(expected[c]))
+    for a, b in (("line_start", "line_end"), ("start_ms", "end_ms"), ("char_start", "char_end")):
+        if a in has:
+            end = F.coalesce(expected[b], expected[a])
+            out = out & (expected[a].isNull() | F.coalesce((actual[a] <= end) & (actual[b] >= expected[a]), F.lit(False)))
+    return out
+
+
+def evidence_recall(shown: DataFrame, judgments: DataFrame, has: Sequence[str] = ("page", "line_start"), relevant: int = 2) -> DataFrame:
+    """``(query_id, evidence_recall)``: the share of a query's judged spans that some evidence of the result at the judged path covers.
+
+    ``shown``: ``query_id, path, locator`` of the evidence of results; ``judgments`` with ``grade`` and ``locator``. Only spans of the grade
+    ``relevant`` count; queries without any have no row.
+    """
+    spans = judgments.where((F.col("grade") == relevant) & F.col("locator").isNotNull()).select("query_id", "path", F.col("locator").alias("_span")).distinct()
+    met = spans.join(shown.select("query_id", "path", F.col("locator").alias("_own")), ["query_id", "path"], "left")
+    hit = met.groupBy("query_id", "path", "_span").agg(F.max(F.coalesce(span_matches(F.col("_own"), F.col("_span"), has), F.lit(False))).alias("_hit"))
+    return hit.groupBy("query_id").agg(F.avg(F.col("_hit").cast("double")).alias("evidence_recall"))
 
 
 def summary(per_query: DataFrame, groups: list[str]) -> DataFrame:

@@ -38,6 +38,29 @@ def covering_frames(points: DataFrame, frames: DataFrame, at: str = "start_ms")
     return points.join(best, "chunk_id", "left")
 
 
+def boxes_by_asset(pictures: DataFrame, read: DataFrame) -> DataFrame:
+    """``(chunk_id, ocr_id)``: for each picture the first recognised passage of the same asset; pictures without one have a null.
+
+    Passages are first reduced to one per asset, so an asset shown very often costs one row.
+    """
+    first = read.where("asset is not null").groupBy("asset").agg(F.min_by("chunk_id", F.struct("ordinal", "chunk_id")).alias("ocr_id"))
+    return pictures.join(first, "asset", "left").select("chunk_id", "ocr_id")
+
+
+def section_of(points: DataFrame, sections: DataFrame, at: str = "start_ms") -> DataFrame:
+    """For each point the first section of its recording that covers it, else the recording's last.
+
+    ``points``: ``recording, point_id`` and ``at``; ``sections``: ``recording, section_id, start_ms, end_ms``. Sections are listed in slots of ten seconds.
+    """
+    slot = 10_000
+    s = sections.select("recording", "section_id", F.col("start_ms").alias("_a"), F.col("end_ms").alias("_b")).where("_a is not null and _b > _a")
+    listed = s.withColumn("_slot", F.explode(F.sequence(F.floor(F.col("_a") / slot), F.floor((F.col("_b") - 1) / slot))))
+    hit = points.withColumn("_slot", F.floor(F.col(at) / slot)).join(listed, ["recording", "_slot"]).where((F.col("_a") <= F.col(at)) & (F.col(at) < F.col("_b")))
+    first = hit.groupBy("point_id").agg(F.min_by("section_id", F.struct("_a", "section_id")).alias("_first"))
+    last = s.groupBy("recording").agg(F.max_by("section_id", F.struct("_a", "section_id")).alias("_last"))
+    return points.join(first, "point_id", "left").join(last, "recording", "left").select("point_id", F.coalesce("_first", "_last").alias("section_id"))
+
+
 def sample_frames(frames: DataFrame, key: str, time: str, mask: str, interval: int = 10_000, distance: int = 4, most: int = 1500) -> DataFrame:
     """``(key, time)`` of kept frames: greedy by interval, dropping a frame whose mask is near that of the last kept.
 

@@ -36,20 +36,18 @@ def exact_neighbours(queries: DataFrame, base: DataFrame, k: int, query_block: i
         if len(qid) and len(bid):
             for a in range(0, len(qid), 512):
                 s = np.round(q[a : a + 512] @ b.T, 9)
-                n = min(k, len(bid))
-                order = np.argsort(-s, axis=1, kind="stable")[:, :n] if len(bid) <= 4 * k else None
-                if order is None:  # the n largest with all ties of the last, then by score and id
-                    least = np.partition(s, len(bid) - n, axis=1)[:, len(bid) - n]
-                    for i in range(len(s)):
-                        at = np.flatnonzero(s[i] >= least[i])
-                        at = at[np.argsort(-s[i, at], kind="stable")[:n]]
-                        ids += [qid[a + i]] * n
-                        items.append(bid[at])
-                        scores.append(s[i, at])
-                else:
-                    ids += np.repeat(qid[a : a + 512], n).tolist()
-                    items.append(bid[order].ravel())
-                    scores.append(np.take_along_axis(s, order, 1).ravel())
+                n, m = min(k, len(bid)), min(k + 32, len(bid))
+                some = np.argpartition(-s, m - 1, axis=1)[:, :m]
+                value = np.take_along_axis(s, some, 1)
+                order = np.lexsort((some, -value), axis=1)[:, :n]  # items lie in the order of their ids
+                best, score = np.take_along_axis(some, order, 1), np.take_along_axis(value, order, 1)
+                # where more share the last score than were looked at, the lowest ids of all of them count
+                for i in np.flatnonzero(value.min(axis=1) >= score[:, -1]) if m < len(bid) else ():
+                    at = np.flatnonzero(s[i] >= score[i, -1])
+                    best[i] = at[np.argsort(-s[i, at], kind="stable")[:n]]
+                ids += np.repeat(qid[a : a + 512], n).tolist()
+                items.append(bid[best].ravel())
+                scores.append(np.take_along_axis(s, best, 1).ravel())
         join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         return pa.table({"query_id": pa.array(ids, table.schema.field("qid").type), "item_id": pa.array(join(items, object if not len(bid) else bid.dtype), pa.int64()), "score": pa.array(join(scores, float), pa.float64())})
 

@@ -115,13 +115,13 @@ def _index(spark: SparkSession, root: str, catalog: Generations, exclusions: lis
     read = read.where("error is null").drop("error", "sha256")
     fresh_read = own.select("relative_path", "extension", "file_id", "revision_id")
     d = sources.decoded(F.col("content"))
-    texts = read.join(fresh_read, "relative_path").select("relative_path", F.lower("extension").alias("extension"), d["text"].alias("text"), d["error"].alias("error"))
+    texts = read.join(fresh_read, "relative_path").select("relative_path", F.lower("extension").alias("extension"), "content", d["text"].alias("text"), d["error"].alias("error"))
     units = written(sources.units(texts), "units")
     errors = units.where("error is not null").select("relative_path", "error").unionByName(fresh.where("_problem is not null").select("relative_path", F.col("_problem").alias("error")))
     cut = chunking.chunk_units(units.where("error is null"), "relative_path", s.chunk_tokens, s.overlap_tokens)
-    cut = cut.join(units.select("relative_path", "unit", "symbol", "parser"), ["relative_path", "unit"]).join(fresh.select("relative_path", "revision_id", F.lower(F.regexp_replace("extension", r"^\.", "")).alias("_ext")), "relative_path")
+    cut = cut.join(units.select("relative_path", "unit", "symbol", "parser", "slide", "section"), ["relative_path", "unit"]).join(fresh.select("relative_path", "revision_id", F.lower(F.regexp_replace("extension", r"^\.", "")).alias("_ext")), "relative_path")
     place = Window.partitionBy("revision_id").orderBy("unit", "ordinal_in_unit")
-    locator = F.from_json(F.to_json(F.struct("line_start", "line_end", "char_start", "char_end", F.col("_ext").alias("language"), "parser")), LOCATOR)
+    locator = F.from_json(F.to_json(F.struct("line_start", "line_end", "char_start", "char_end", F.when(F.col("kind") == "code", F.col("_ext")).alias("language"), "parser", "slide", "section")), LOCATOR)
     cut = dense_ids(cut, ["revision_id", "unit", "ordinal_in_unit"], "id", top(chunks))
     new_chunks = cut.select("id", "revision_id", (F.row_number().over(place) - 1).alias("ordinal"), "kind", "text", F.sha2("text", 256).alias("text_hash"), locator.alias("locator"), "symbol", F.lit(None).cast("string").alias("asset"))
     new_chunks = written(new_chunks, "chunks")

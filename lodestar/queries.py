@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import numeric, text
@@ -12,6 +12,7 @@ from lodestar.operators import catalog, chunking, evaluation, fusion, lexical, m
 from lodestar.plans import generations, search
 from lodestar.plans.storage import load, written
 from lodestar.schema import Settings
+from lodestar.sources import files as sources
 from lodestar.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +31,7 @@ _LIVE = """
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 _TOK = r"[\p{L}\p{N}]+"
 _QT = rf"""
-  qs AS (SELECT DISTINCT ON (id) id AS query_id, query, category, filters FROM queries),
+  qs AS (SELECT DISTINCT ON (id) id AS query_id, query, category, filters, split FROM queries),
   qt AS (SELECT query_id, list_filter(list_distinct(list_transform(list_concat(regexp_extract_all(query, '{_TOK}'),
            regexp_extract_all(regexp_replace(query, '([a-z])([A-Z])', '\1 \2', 'g'), '{_TOK}')), lambda t: lower(t))), lambda t: NOT list_contains([{_STOP}], t)) AS ts FROM qs)
 """
@@ -200,10 +201,16 @@ def _(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query("profile_identity", "SELECT DISTINCT id, substring(sha256(concat_ws('|', model, revision, dimension, coalesce(config, ''))), 1, 24) AS identity FROM profiles")
+@query("profile_identity", """SELECT DISTINCT id, substring(sha256(CAST(json_object('config', coalesce(config, ''), 'dimension', dimension, 'modality', modality, 'model', model, 'revision', revision) AS VARCHAR)), 1, 24) AS identity FROM profiles""")
 def _(spark, sf):
-    whole = F.concat_ws("|", "model", "revision", F.col("dimension").cast("string"), F.coalesce("config", F.lit("")))
-    return load(spark, sf, "profiles").select("id", F.substring(F.sha2(whole, 256), 1, 24).alias("identity")).distinct()
+    p = load(spark, sf, "profiles")
+    return p.select("id", numeric.profile_identity(*(F.col(c) for c in ("model", "revision", "dimension", "config", "modality"))).alias("identity")).distinct()
+
+
+@query("clamped_milliseconds", "SELECT event_id, least(greatest(0, CAST(trunc((value - 5) * 1000) AS BIGINT)), 60000) AS ms, epoch_us(ts) * 1000 AS ns FROM events WHERE value IS NOT NULL")
+def _(spark, sf):
+    e = load(spark, sf, "events").where("value is not null")
+    return e.select("event_id", numeric.clamped_ms(F.col("value") - 5, F.lit(60_000).cast("long")).alias("ms"), numeric.epoch_ns(F.col("ts").cast("timestamp")).alias("ns"))
 
 
 @query(
@@ -217,10 +224,16 @@ def _(spark, sf):
     return out.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("ordinal", "tokens", "first", "last")))
 
 
-@query("chunk_paragraph_snap")
+@query("chunk_paragraph_snap", r"""WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(text, '\S+') AS tk, regexp_extract_all(text, '\s+') AS gp, CASE WHEN regexp_matches(text, '^\s') THEN 1 ELSE 0 END AS lead FROM documents WHERE regexp_matches(text, '\S')),
+   u AS (SELECT doc_id, lead, gp, len(tk) AS n, unnest(range(len(tk))) AS i, unnest(tk) AS w FROM d), g AS (SELECT doc_id, n, i, w, coalesce(CASE WHEN i + lead > 0 THEN gp[i + lead] END, '') AS g FROM u),
+   s AS (SELECT doc_id, n, i, length(w) AS len, sum(length(g)) OVER o + sum(length(w)) OVER o - length(w) AS a, max(CASE WHEN i > 0 AND contains(g, chr(10) || chr(10)) THEN i ELSE 0 END) OVER o AS brk FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+   f AS (SELECT doc_id, n, i, a, least(i + 192, n) AS fl FROM s), e AS (SELECT f.*, CASE WHEN fl < f.n AND b.brk > f.i + (3 * (fl - f.i)) // 4 THEN greatest(b.brk, f.i + 33) ELSE fl END AS stop FROM f JOIN s b ON b.doc_id = f.doc_id AND b.i = fl - 1),
+   r AS (SELECT doc_id, 0 AS ordinal, CAST(0 AS BIGINT) AS i FROM d UNION ALL SELECT r.doc_id, r.ordinal + 1, e.stop - 32 FROM r JOIN e ON e.doc_id = r.doc_id AND e.i = r.i WHERE e.stop < e.n)
+   SELECT r.doc_id, CAST(r.ordinal AS BIGINT) AS ordinal, CAST(e.a AS BIGINT) AS char_start, CAST(z.a + z.len AS BIGINT) AS char_end, substring(d.text, CAST(e.a + 1 AS BIGINT), CAST(z.a + z.len - e.a AS BIGINT)) AS text
+   FROM r JOIN e ON e.doc_id = r.doc_id AND e.i = r.i JOIN s z ON z.doc_id = r.doc_id AND z.i = e.stop - 1 JOIN d ON d.doc_id = r.doc_id""")
 def _(spark, sf):
     units = load(spark, sf, "documents").select("doc_id", F.lit(0).alias("unit"), "text", F.lit("text").alias("kind"), F.lit(0).alias("char_start"), F.lit(1).alias("line_start"))
-    return chunking.chunk_units(units, "doc_id")
+    return chunking.chunk_units(units, "doc_id").select("doc_id", *(F.col(c).cast("long").alias(n) for c, n in (("ordinal_in_unit", "ordinal"), ("char_start", "char_start"), ("char_end", "char_end"))), "text")
 
 
 # ------------------------------------------------------------- lexical search
@@ -532,6 +545,12 @@ def _(spark, sf):
     return reconcile.forgotten(load(spark, sf, "files"), load(spark, sf, "revisions"), load(spark, sf, "chunks"), 1)
 
 
+@query("source_freshness", f"""WITH {_DISK} SELECT ca.id AS file_id, CASE WHEN di.path_key IS NULL THEN 'SOURCE_UNAVAILABLE' WHEN di.size = ca.size AND di.mtime_ns = ca.mtime_ns THEN 'ok' ELSE 'SOURCE_CHANGED' END AS state FROM ca LEFT JOIN di USING (path_key)""")
+def _(spark, sf):
+    listing, held = _listing(spark, sf)
+    return sources.source_state(held, listing)
+
+
 @query("overlapping_roots", "SELECT a.id AS root_id, b.id AS inside_id FROM (SELECT id, path FROM roots UNION ALL SELECT id + 100, path || '/sub/dir' FROM roots WHERE id <= 3) a JOIN (SELECT id, path FROM roots UNION ALL SELECT id + 100, path || '/sub/dir' FROM roots WHERE id <= 3) b ON a.id <> b.id AND (a.path = b.path OR starts_with(a.path, b.path || '/'))")
 def _(spark, sf):
     r = load(spark, sf, "roots").select("id", "path")
@@ -651,13 +670,34 @@ def _(spark, sf):
     return media.covering_frames(c.where("kind = 'transcript'"), c.where("kind = 'frame'")).select("chunk_id", F.coalesce("frame_id", F.lit(-1)).alias("frame_id"))
 
 
-@query("frame_sampling")
+@query("frame_sampling", """WITH RECURSIVE ck AS (SELECT DISTINCT ON (id) id, revision_id, locator.start_ms AS t, coalesce(asset, '0000000000000000') AS x FROM chunks WHERE kind = 'frame'),
+   m AS (SELECT revision_id, t, array_to_string(list_transform(range(1, 17), lambda i: lpad(bin(CAST('0x' || substr(x, i, 1) AS INT)), 4, '0')), '') AS mask FROM ck WHERE t IS NOT NULL),
+   o AS (SELECT *, row_number() OVER (PARTITION BY revision_id ORDER BY t, mask) AS n FROM m),
+   r AS (SELECT revision_id, n, t, true AS kept, t + 10000 AS due, mask AS last, 1 AS many FROM o WHERE n = 1 UNION ALL
+     SELECT o.revision_id, o.n, o.t, o.t >= r.due AND r.many < 1500 AND hamming(o.mask, r.last) > 4, CASE WHEN o.t >= r.due AND r.many < 1500 THEN o.t + 10000 ELSE r.due END, CASE WHEN o.t >= r.due AND r.many < 1500 AND hamming(o.mask, r.last) > 4 THEN o.mask ELSE r.last END,
+       r.many + CASE WHEN o.t >= r.due AND r.many < 1500 AND hamming(o.mask, r.last) > 4 THEN 1 ELSE 0 END FROM r JOIN o ON o.revision_id = r.revision_id AND o.n = r.n + 1)
+   SELECT revision_id, t AS start_ms FROM r WHERE kept""")
 def _(spark, sf):
     c = catalog.once(load(spark, sf, "chunks").where("kind = 'frame'").select("id", "revision_id", "locator", "asset"))
     bits = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: F.lpad(F.conv(F.substr(F.coalesce("asset", F.lit("0000000000000000")), i, F.lit(1)), 16, 2), 4, "0")), "")
     return media.sample_frames(c.select("revision_id", F.col("locator.start_ms").alias("start_ms"), bits.alias("mask")), "revision_id", "start_ms", "mask")
 
 
+@query("boxes_by_asset", """WITH ck AS (SELECT DISTINCT ON (id) id, ordinal, kind, asset FROM chunks), o AS (SELECT asset, arg_min(id, struct_pack(a := ordinal, b := id)) AS ocr_id FROM ck WHERE kind = 'ocr' AND asset IS NOT NULL GROUP BY asset)
+   SELECT ck.id AS chunk_id, coalesce(o.ocr_id, -1) AS ocr_id FROM ck LEFT JOIN o USING (asset) WHERE kind IN ('image', 'frame')""")
+def _(spark, sf):
+    c = catalog.once(load(spark, sf, "chunks").select("id", "ordinal", "kind", "asset")).withColumnRenamed("id", "chunk_id")
+    return media.boxes_by_asset(c.where("kind in ('image', 'frame')"), c.where("kind = 'ocr'")).select("chunk_id", F.coalesce("ocr_id", F.lit(-1)).alias("ocr_id"))
+
+
+@query("section_of_transcript", """WITH ck AS (SELECT DISTINCT ON (id) id, revision_id, kind, locator.start_ms AS a, locator.end_ms AS b FROM chunks WHERE kind IN ('transcript', 'frame')), f AS (SELECT * FROM ck WHERE kind = 'frame' AND a IS NOT NULL AND b > a),
+   h AS (SELECT t.id, arg_min(f.id, struct_pack(x := f.a, y := f.id)) AS s FROM ck t JOIN f ON f.revision_id = t.revision_id AND f.a <= t.a AND t.a < f.b WHERE t.kind = 'transcript' GROUP BY t.id), l AS (SELECT revision_id, arg_max(id, struct_pack(x := a, y := id)) AS s FROM f GROUP BY revision_id)
+   SELECT t.id AS point_id, coalesce(h.s, l.s, -1) AS section_id FROM ck t LEFT JOIN h USING (id) LEFT JOIN l ON l.revision_id = t.revision_id WHERE t.kind = 'transcript'""")
+def _(spark, sf):
+    c = catalog.once(load(spark, sf, "chunks").where("kind in ('transcript', 'frame')").select("id", "revision_id", "kind", "locator")).select("id", F.col("revision_id").alias("recording"), "kind", "locator.start_ms", "locator.end_ms")
+    return media.section_of(c.where("kind = 'transcript'").withColumnRenamed("id", "point_id"), c.where("kind = 'frame'").withColumnRenamed("id", "section_id")).select("point_id", F.coalesce("section_id", F.lit(-1)).alias("section_id"))
+
+
 @query("frame_masks", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) SELECT vec_id, list_aggregate(list_transform(v, lambda x: CASE WHEN x >= list_sum(v) / 64 THEN '1' ELSE '0' END), 'string_agg', '') AS mask FROM e""")
 def _(spark, sf):
     return load(spark, sf, "embeddings").select("vec_id", numeric.bit_mask(F.col("embedding")).alias("mask"))
@@ -705,7 +745,7 @@ def _eval_sql(k: int) -> str:
    go AS (SELECT query_id, count(*) FILTER (grade = 2) AS hits, min(rank) FILTER (grade = 2) AS fi, sum((pow(2, coalesce(grade, 0)) - 1) / log2(rank + 1)) AS dcg FROM hd GROUP BY query_id),
    be AS (SELECT query_id, count(*) FILTER (grade = 2) AS rel FROM gr GROUP BY query_id),
    ri AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(n + 1)) AS idcg FROM (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS n FROM gr) WHERE n <= {k} GROUP BY query_id),
-   ev AS (SELECT qs.query_id, qs.category, coalesce(rel, 0) > 0 AS answerable, coalesce(hits, 0) / {k}.0 AS precision, CASE WHEN coalesce(rel, 0) > 0 THEN coalesce(hits, 0) / rel ELSE 0 END AS recall, CASE WHEN coalesce(hits, 0) > 0 THEN 1 ELSE 0 END AS hit_rate,
+   ev AS (SELECT qs.query_id, qs.category, coalesce(lower(trim(qs.split)), '') AS split, coalesce(rel, 0) > 0 AS answerable, coalesce(hits, 0) / {k}.0 AS precision, CASE WHEN coalesce(rel, 0) > 0 THEN coalesce(hits, 0) / rel ELSE 0 END AS recall, CASE WHEN coalesce(hits, 0) > 0 THEN 1 ELSE 0 END AS hit_rate,
      coalesce(1.0 / fi, 0) AS mrr, CASE WHEN coalesce(idcg, 0) > 0 THEN coalesce(dcg, 0) / idcg ELSE 0 END AS ndcg FROM qs LEFT JOIN go USING (query_id) LEFT JOIN be USING (query_id) LEFT JOIN ri USING (query_id))"""
 
 
@@ -717,15 +757,15 @@ for _k in (1, 5, 10):
         return m.select("query_id", "answerable", *(F.round(c, 6).alias(c) for c in ("precision", "recall")), "hit_rate", *(F.round(c, 6).alias(c) for c in ("mrr", "ndcg")))
 
 
-@query("eval_grouping_sets", _eval_sql(10) + """ SELECT category, count(*) AS queries, count(*) FILTER (answerable) AS answerable, round(avg(precision) FILTER (answerable), 6) AS precision, round(avg(recall) FILTER (answerable), 6) AS recall, round(avg(hit_rate) FILTER (answerable), 6) AS hit_rate, round(avg(mrr) FILTER (answerable), 6) AS mrr, round(avg(ndcg) FILTER (answerable), 6) AS ndcg,
-   round(avg(CASE WHEN query_id IN (SELECT query_id FROM res) THEN 1.0 ELSE 0.0 END) FILTER (NOT answerable), 6) AS false_positive_rate FROM ev GROUP BY GROUPING SETS ((), (category))""")
+@query("eval_grouping_sets", _eval_sql(10) + """ SELECT category, split, count(*) AS queries, count(*) FILTER (answerable) AS answerable, round(avg(precision) FILTER (answerable), 6) AS precision, round(avg(recall) FILTER (answerable), 6) AS recall, round(avg(hit_rate) FILTER (answerable), 6) AS hit_rate, round(avg(mrr) FILTER (answerable), 6) AS mrr, round(avg(ndcg) FILTER (answerable), 6) AS ndcg,
+   round(avg(CASE WHEN query_id IN (SELECT query_id FROM res) THEN 1.0 ELSE 0.0 END) FILTER (NOT answerable), 6) AS false_positive_rate FROM ev GROUP BY GROUPING SETS ((), (category), (split))""")
 def _(spark, sf):
     results = written(_results(spark, sf), "results")
     q = _queries(spark, sf)
     m = evaluation.metrics(results, evaluation.clean_judgments(load(spark, sf, "judgments")), q, 10)
     n = results.groupBy("query_id").agg(F.count("*").alias("returned"))
-    full = m.join(q.select("query_id", "category"), "query_id").join(n, "query_id", "left").na.fill({"returned": 0})
-    return evaluation.summary(full, ["category"])
+    full = m.join(q.select("query_id", "category", F.coalesce(F.lower(F.trim("split")), F.lit("")).alias("split")), "query_id").join(n, "query_id", "left").na.fill({"returned": 0})
+    return evaluation.summary(full, ["category", "split"])
 
 
 @query("eval_latency_percentiles", "SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
@@ -741,10 +781,28 @@ def _(spark, sf):
     return j.join(c, "path").where(evaluation.span_matches(F.col("own"), F.col("locator"))).select("query_id", "path", "chunk_id").distinct()
 
 
-@query("word_error_rate")
+@query("evidence_recall", _TERMS + ", " + _JUDGE + """, h AS (SELECT lx.query_id, lx.rank, lx.chunk_id, lc.file_id, lc.text_hash, lc.kind, lc.relative_path AS path, lc.locator AS own FROM lx JOIN lc USING (chunk_id)),
+   k AS (SELECT *, coalesce(sum(CASE WHEN kind IN ('image', 'frame') THEN 0 ELSE 1 END) OVER (PARTITION BY query_id, file_id, text_hash ORDER BY rank, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM h),
+   e AS (SELECT query_id, path, own FROM (SELECT *, row_number() OVER (PARTITION BY query_id, file_id ORDER BY rank, chunk_id) AS place FROM k WHERE seen = 0) WHERE place <= 3),
+   s AS (SELECT DISTINCT query_id, path, locator FROM ju WHERE grade = 2 AND locator IS NOT NULL),
+   m AS (SELECT s.query_id, s.path, s.locator, max(CASE WHEN coalesce((s.locator.page IS NULL OR coalesce(own.page = s.locator.page, false)) AND (s.locator.line_start IS NULL OR coalesce(own.line_start <= coalesce(s.locator.line_end, s.locator.line_start) AND own.line_end >= s.locator.line_start, false)), false) AND e.query_id IS NOT NULL THEN 1.0 ELSE 0.0 END) AS hit FROM s LEFT JOIN e USING (query_id, path) GROUP BY ALL)
+   SELECT query_id, round(avg(hit), 6) AS evidence_recall FROM m GROUP BY query_id""")
+def _(spark, sf):
+    live = written(catalog.live_chunks(load(spark, sf, "chunks"), _live(spark, sf), ("kind", "text_hash", "locator")), "live")
+    branch = _answers(spark, sf, live.select("chunk_id"), 50).select("query_id", "chunk_id", "rank")
+    hits = branch.join(live.select("chunk_id", "file_id", "text_hash", "kind"), "chunk_id")
+    shown = fusion.evidence(hits).join(live.select("chunk_id", F.col("relative_path").alias("path"), "locator"), "chunk_id")
+    return evaluation.evidence_recall(shown, evaluation.clean_judgments(load(spark, sf, "judgments"))).select("query_id", F.round("evidence_recall", 6).alias("evidence_recall"))
+
+
+@query("word_error_rate")  # no SQL: DuckDB's distance counts bytes, so words cannot be mapped to characters; tested against brute force
 def _(spark, sf):
+    """Transcripts of superseded revisions against those of the file's active one, passage by passage."""
     c = catalog.once(load(spark, sf, "chunks").where("kind = 'transcript'").select("id", "revision_id", "ordinal", "text"))
-    w = Window.partitionBy("revision_id").orderBy("ordinal", "id")
-    pair = c.withColumn("before", F.lag("text").over(w)).where("before is not null")
-    n = F.size(F.regexp_extract_all(F.lower("before"), F.lit("[a-z0-9]+"), F.lit(0)))
-    return pair.select(F.col("id").alias("chunk_id"), numeric.word_edits(F.col("before"), F.col("text")).alias("edits"), n.alias("words"))
+    owner = catalog.once(load(spark, sf, "revisions")).select(F.col("id").alias("revision_id"), "file_id")
+    said = c.join(owner, "revision_id")
+    now = load(spark, sf, "files").select(F.col("active_revision_id").alias("revision_id"))
+    reference = said.join(now, "revision_id", "left_semi").select("file_id", "ordinal", F.col("text").alias("reference"))
+    pair = said.join(now, "revision_id", "left_anti").join(reference, ["file_id", "ordinal"])
+    n = F.size(F.regexp_extract_all(F.lower("reference"), F.lit("[a-z0-9]+"), F.lit(0)))
+    return pair.select(F.col("id").alias("chunk_id"), numeric.word_edits(F.col("reference"), F.col("text")).alias("edits"), n.alias("words"))

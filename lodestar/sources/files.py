@@ -6,13 +6,17 @@ import ast
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.schema import CODE_EXTENSIONS, EXCLUDED_NAMES, SUPPORTED, TEXT_EXTENSIONS
+from lodestar.schema import CODE_EXTENSIONS, EXCLUDED_NAMES, IMAGE_EXTENSIONS, SUPPORTED, TEXT_EXTENSIONS
+from lodestar.sources.decks import DeckError, deck_units
+
+#: From a path and its bytes to rows of UNITS.
+Reader = Callable[[str, bytes], list[tuple]]
 
 
 def listing(spark: SparkSession, root: str, exclusions: list[str] | None = None) -> tuple[DataFrame, bool]:
@@ -173,35 +177,51 @@ def code_units(text: str, extension: str) -> list[tuple[str, str, int, int, int,
     return out
 
 
-UNITS = "relative_path string, unit int, text string, kind string, symbol string, char_start int, line_start int, line_end int, parser string, error string"
+UNITS = "relative_path string, unit int, text string, kind string, symbol string, char_start int, line_start int, line_end int, parser string, slide int, section string, error string"
+
+
+def _deck(path: str, data: bytes) -> list[tuple]:
+    try:
+        return [(path, i, t, "text", None, None, None, None, None, n, section, None) for i, (n, section, t) in enumerate(deck_units(data))]
+    except DeckError as wrong:
+        return [(path, 0, None, None, None, None, None, None, None, None, None, str(wrong))]
 
 
-def units(read: DataFrame) -> DataFrame:
-    """Units of text and code files; ``read``: ``relative_path, extension, text, error``. Other kinds give a row with an error.
+def units(read: DataFrame, readers: dict[str, Reader] | None = None) -> DataFrame:
+    """Units of text, code and presentations; ``read``: ``relative_path, extension, content, text, error``. What has no reader gives an error row.
 
-    Readers of pictures, recordings, decks and PDF need libraries that a session may lack; their files then carry the code that
-    says so, and their passages enter as ready-made units.
+    ``readers``: further readers by extension, each from ``(path, bytes)`` to rows of UNITS: pictures, recordings and PDF need libraries that
+    a session may lack. Without one their files carry the code that says so. A unit's place is its slide and section, or its
+    lines and characters.
     """
-    missing = {".pdf": "OCR_UNAVAILABLE", ".ppt": "LEGACY_PPT_UNAVAILABLE", ".pptx": "PRESENTATION_UNREADABLE"}
+    missing = {".pdf": "PDF_UNAVAILABLE", ".ppt": "LEGACY_PPT_UNAVAILABLE", **{e: "OCR_UNAVAILABLE" for e in IMAGE_EXTENSIONS}}
+    by_suffix: dict[str, Reader] = {".pptx": _deck, **(readers or {})}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = (None,) * 10
         for batch in batches:
             rows: list[tuple] = []
-            for path, ext, text, error in zip(*(c.to_pylist() for c in batch.columns)):
+            for path, ext, data, text, error in zip(*(c.to_pylist() for c in batch.columns)):
                 ext = (ext or "").lower()
-                if error or text is None:
-                    rows.append((path, 0, None, None, None, None, None, None, None, error or missing.get(ext, "MEDIA_UNAVAILABLE")))
+                if ext in by_suffix and data is not None:
+                    rows += by_suffix[ext](path, data)
+                elif error or text is None or ext not in (*CODE_EXTENSIONS, *TEXT_EXTENSIONS):
+                    known = error if ext in (*CODE_EXTENSIONS, *TEXT_EXTENSIONS) else None
+                    rows.append((path, 0, *none[:9], known or missing.get(ext, "MEDIA_UNAVAILABLE")))
                 elif ext in CODE_EXTENSIONS:
-                    rows += [(path, i, t, "code", s, c, a, b, p, None) for i, (t, s, a, b, c, p) in enumerate(code_units(text, ext))]
-                elif ext in TEXT_EXTENSIONS:
-                    rows.append((path, 0, text, "text", None, 0, 1, text.count("\n") + 1, None, None))
+                    rows += [(path, i, t, "code", s, c, a, b, p, None, None, None) for i, (t, s, a, b, c, p) in enumerate(code_units(text, ext))]
                 else:
-                    rows.append((path, 0, None, None, None, None, None, None, None, missing.get(ext, "MEDIA_UNAVAILABLE")))
-            kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+                    rows.append((path, 0, text, "text", None, 0, 1, text.count("\n") + 1, None, None, None, None))
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
             cols = list(zip(*rows)) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in UNITS.split(", ")])
 
-    return read.select("relative_path", "extension", "text", "error").mapInArrow(run, UNITS)
+    return read.select("relative_path", "extension", "content", "text", "error").mapInArrow(run, UNITS)
+
+
+def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON document of several lines: one object, or one array of objects."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -176,9 +177,9 @@ def test_sources(spark, tmp_path):
     assert whole and sorted(r.relative_path for r in listed.collect()) == ["a.md", "b.py", "w.txt", "x.txt", "z.txt"]
     with pytest.raises(FileNotFoundError):
         sources.listing(spark, str(tmp_path / "none"))
-    read = sources.contents(spark, f"file://{tmp_path}").withColumn("relative_path", F.regexp_extract("path", r"([^/]+)$", 1))
+    read = sources.contents(listed, str(tmp_path)).join(listed.select("relative_path", "extension"), "relative_path")
     d = sources.decoded(F.col("content"))
-    got = read.where("path not like '%/skip/%' and path not like '%.js' and path not like '%.exe'").select("relative_path", F.regexp_extract("path", r"(\.\w+)$", 1).alias("extension"), d["text"].alias("text"), d["error"].alias("error"))
+    got = read.select("relative_path", "extension", "content", d["text"].alias("text"), d["error"].alias("error"))
     by = {r.relative_path: (r.text, r.error) for r in got.collect()}
     assert by["a.md"] == ("hello", None) and by["w.txt"] == ("paging", None) and by["x.txt"] == (None, "UNSUPPORTED_ENCODING") and by["z.txt"] == (None, "BINARY_FILE")
     units = [r for r in sources.units(got).collect() if r.relative_path == "b.py"]
@@ -191,3 +192,79 @@ def test_empty_catalogue(spark, sf):
     f, r, c, k = (load(spark, sf, t).limit(0) for t in ("files", "revisions", "chunks", "roots"))
     live = catalog.live_files(f, r, k)
     assert live.count() == 0 and catalog.live_chunks(c, live).count() == 0 and fusion.aliases(live).count() == 0
+
+
+def test_changed_sources(spark, tmp_path):
+    (tmp_path / "a.md").write_text("now longer than it was")
+    (tmp_path / "out.md").write_text("x")
+    (tmp_path / "in").mkdir()
+    os.symlink(tmp_path / "out.md", tmp_path / "in" / "link.md")
+    s = os.stat(tmp_path / "a.md")
+    rows = [("a.md", 3, s.st_mtime_ns), ("gone.md", 1, 1), ("in/link.md", 1, 1), ("../x.md", 1, 1)]
+    got = {r.relative_path: r.error for r in sources.contents(spark.createDataFrame(rows, "relative_path string, size long, mtime_ns long"), str(tmp_path)).collect()}
+    assert got == {"a.md": "SOURCE_CHANGED", "gone.md": "SOURCE_UNAVAILABLE", "in/link.md": "SOURCE_BLOCKED", "../x.md": "SOURCE_BLOCKED"}
+    (tmp_path / "doc.json").write_text('[{"a": 1,\n "b": "x"},\n {"a": 2}]')
+    assert sorted(r.a for r in sources.json_document(spark, f"file://{tmp_path}/doc.json", "a int, b string").collect()) == [1, 2]
+
+
+A, P, R = "http://schemas.openxmlformats.org/drawingml/2006/main", "http://schemas.openxmlformats.org/presentationml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def deck(path, slides, extra=()):
+    """A small presentation: of each slide its shapes as XML, and its notes."""
+    import zipfile
+
+    rel = lambda rows: "<Relationships>" + "".join(f'<Relationship Id="{i}" Type="{R}/{k}" Target="{t}"/>' for i, k, t in rows) + "</Relationships>"
+    with zipfile.ZipFile(path, "w") as z:
+        ids = "".join(f'<p:sldId id="{256 + n}" r:id="r{n}"/>' for n in range(len(slides)))
+        z.writestr("ppt/presentation.xml", f'<p:presentation xmlns:p="{P}" xmlns:r="{R}"><p:sldIdLst>{ids}</p:sldIdLst></p:presentation>')
+        z.writestr("ppt/_rels/presentation.xml.rels", rel([(f"r{n}", "slide", f"slides/s{n}.xml") for n in range(len(slides))]))
+        for n, (shapes, notes) in enumerate(slides):
+            z.writestr(f"ppt/slides/s{n}.xml", f'<p:sld xmlns:p="{P}" xmlns:a="{A}" xmlns:r="{R}"><p:cSld><p:spTree>{shapes}</p:spTree></p:cSld></p:sld>')
+            if notes:
+                z.writestr(f"ppt/slides/_rels/s{n}.xml.rels", rel([("n", "notesSlide", f"../notesSlides/n{n}.xml")]))
+                z.writestr(f"ppt/notesSlides/n{n}.xml", f'<p:notes xmlns:p="{P}" xmlns:a="{A}"><p:cSld><p:spTree>{said("7", "sldNum")}{said(notes)}</p:spTree></p:cSld></p:notes>')
+        for name, text in extra:
+            z.writestr(name, text)
+
+
+def said(text, kind="body"):
+    return f'<p:sp><p:nvSpPr><p:nvPr><p:ph type="{kind}"/></p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>{text}</a:t></a:r></a:p></p:txBody></p:sp>'
+
+
+def test_decks(spark, tmp_path):
+    from lodestar.sources import decks
+
+    cell = lambda t, more="": f"<a:tc{more}><a:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></a:txBody></a:tc>"
+    table = f'<p:graphicFrame><a:graphic><a:graphicData><a:tbl><a:tr>{cell("Determinant")}{cell("Superkey")}</a:tr><a:tr>{cell("a")}{cell("b", chr(32) + "hMerge=" + chr(34) + "1" + chr(34))}</a:tr></a:tbl></a:graphicData></a:graphic></p:graphicFrame>'
+    deck(tmp_path / "d.pptx", [(said("First slide"), "Say this"), (f"<p:grpSp>{said('In a group')}</p:grpSp>{table}", None), ("", None)])
+    data = (tmp_path / "d.pptx").read_bytes()
+    assert decks.deck_units(data) == [(1, "slide", "First slide"), (1, "notes", "Say this"), (2, "slide", "In a group\nDeterminant | Superkey\na")]
+    for bad, code in ((b"nothing", "PRESENTATION_UNREADABLE"), (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1rest", "ENCRYPTED_PRESENTATION")):
+        with pytest.raises(decks.DeckError, match=code):
+            decks.deck_units(bad)
+    with pytest.raises(decks.DeckError, match="PRESENTATION_TOO_LARGE"):
+        decks.deck_units(data, 10)
+    read = spark.createDataFrame([("d.pptx", ".PPTX", data, None, None), ("bad.pptx", ".pptx", b"x", None, None), ("p.png", ".png", b"x", None, None)], "relative_path string, extension string, content binary, text string, error string")
+    got = [(r.relative_path, r.slide, r.section, r.error) for r in sources.units(read).collect()]
+    assert ("d.pptx", 1, "notes", None) in got and ("bad.pptx", None, None, "PRESENTATION_UNREADABLE") in got and ("p.png", None, None, "OCR_UNAVAILABLE") in got
+    own = sources.units(read, {".png": lambda path, data: [(path, 0, "read", "ocr", None, None, None, None, None, None, None, None)]})
+    assert own.where("text = 'read'").count() == 1
+
+
+def test_spans_and_errors(spark):
+    actual = "struct<slide int, section string, page int, line_start int, line_end int, start_ms long, end_ms long>"
+    rows = [(1, (2, "slide", None, None, None, None, None), (2, "notes", None, None, None, None, None)), (2, (None, None, None, None, None, 500, 900), (None, None, None, None, None, 850, None)), (3, (None, None, 1, 5, 10, None, None), (None, None, 1, 9, 15, None, None)), (4, (None, None, 1, None, None, None, None), (None, None, None, 9, 15, None, None))]
+    df = spark.createDataFrame(rows, f"id int, own {actual}, want {actual}")
+    got = {r.id: r.ok for r in df.select("id", evaluation.span_matches(F.col("own"), F.col("want"), ("slide", "section", "page", "line_start", "start_ms")).alias("ok")).collect()}
+    assert got == {1: False, 2: True, 3: True, 4: False}
+    long = " ".join(f"w{i}" for i in range(40_000))
+    e = spark.createDataFrame([("a b c d", "a x c"), (long, long.replace("w39999", "y")), (None, "a")], "a string, b string").select(numeric.word_edits(F.col("a"), F.col("b")).alias("n"))
+    assert [r.n for r in e.collect()] == [2, 1, None]
+
+
+def test_requests():
+    from lodestar.plans.search import Request
+
+    with pytest.raises(ValueError):
+        Request(mode="psychic")

@@ -62,3 +62,26 @@ def test_again(spark, tmp_path):
     assert held.read("roots").first().status == "unavailable" and held.read("files").count() == 3
     assert ingest.forget(held, str(root)) == {"roots": 0, "files": 0, "revisions": 0, "chunks": 0}
     assert held.retire(1) and held.current()["generation"] > 4
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from lodestar import cli
+
+    root = tmp_path / "notes"
+    root.mkdir()
+    (root / "semaphores.md").write_text("# Semaphores\n\nA counting semaphore protects permits.\n")
+    (root / "rank.py").write_text("def rank_fusion(a):\n    return a\n")
+    (tmp_path / "q.jsonl").write_text('{"id": "1", "query": "counting semaphore", "category": "exact", "split": "dev"}\n\n{"id": "2", "query": "zebra", "category": "none", "split": "test"}\n')
+    (tmp_path / "j.jsonl").write_text('{"query_id": "1", "path": "semaphores.md", "grade": 2}\n')
+    at = f"file://{tmp_path}/catalog"
+    run = lambda *a: (cli.main([at, *a]), [json.loads(x) for x in capsys.readouterr().out.splitlines()])[1]
+    assert run("index", str(root)) == [{"extract": 2}]
+    assert run("search", "counting", "semaphore", "--mode", "lexical")[0]["relative_path"] == "semaphores.md"
+    assert run("search", "rank", "--modality", "text") == [] and run("search", "rank", "--extension", ".py")[0]["name"] == "rank.py"
+    first = run("evaluate", f"file://{tmp_path}/q.jsonl", f"file://{tmp_path}/j.jsonl", "--mode", "lexical")
+    whole = [r for r in first if r["category"] is None and r["split"] is None][0]
+    assert whole["queries"] == 2 and whole["answerable"] == 1 and whole["mrr"] == 1.0 and whole["false_positive_rate"] == 0.0
+    assert len(first) == 5 and run("failures") == []
+    assert run("forget", str(root))[0]["files"] == 0
