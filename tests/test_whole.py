@@ -58,16 +58,17 @@ def test_notes_of_named_warnings(spark, tmp_path):
     warnings = ["page_skipped", "slide_3:OCR_TIMEOUT", "slide_4:IMAGE_UNREADABLE", "slide_5", "presentation_ocr_partial:12_of_40", "transcription_unavailable:x", "no_audio_stream", "frame_limit_reached"]
     rows = [(1, warnings[:4]), (2, warnings[3:]), (2, warnings[3:]), (3, []), (4, None), (5, [None])]
     got = {r.warning: r.note for r in run(spark, tmp_path, "extraction_notes", revisions=spark.createDataFrame(rows, "id long, warnings array<string>")).collect()}
-    assert got == {
+    want = {
         "page_skipped": "page skipped",
-        "slide_3:OCR_TIMEOUT": "Reading pictures of slide 3 took too long.",
-        "slide_4:IMAGE_UNREADABLE": "A picture on slide 4 could not be read.",
+        "slide_3:OCR_TIMEOUT": "Image OCR on Slide 3 reached its time limit. Slide text is still searchable.",
+        "slide_4:IMAGE_UNREADABLE": "An embedded image on Slide 4 could not be read. Slide text is still searchable.",
         "slide_5": "slide 5",
-        "presentation_ocr_partial:12_of_40": "Slide text can be searched; 12 image placements were not read.",
-        "transcription_unavailable:x": "Frames of this video can be searched, its sound could not be transcribed.",
-        "no_audio_stream": "This video has no sound; its frames can be searched.",
-        "frame_limit_reached": "The limit of frames was reached; later pictures may be missing.",
+        "presentation_ocr_partial:12_of_40": "Slide text is searchable. Image OCR stopped early; 12 image placements were not processed.",
+        "transcription_unavailable:x": "Video frames are searchable, but the audio could not be transcribed. Check local speech setup and rescan.",
+        "no_audio_stream": "This video has no audio track. Its sampled frames are searchable.",
+        "frame_limit_reached": "Video sampling reached its frame limit. Later visuals may be missing.",
     }
+    assert {k: got.get(k) for k in want} == want and None not in got
 
 
 def test_pieces_keep_their_places(spark, tmp_path):
