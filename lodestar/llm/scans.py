@@ -31,8 +31,8 @@ WORD = re.compile(r"[\w@!|]*\w[\w@!|]*")
 _BREAK = re.compile(rf"(?:^|[\s\W])?([\w@!|]*\w)[{HYPHENS}]$")
 _LEAD = re.compile(r"[\w@!|]+")
 ROMAN = re.compile(r"(?=[mdclxvi])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})", re.I)
-_NUM = r"(?:\d{1,5}|[ivxlc]{1,8}|[IVXLC]{1,8})"
-_ALONE = re.compile(rf"(?P<d>[\[({{<~*•·=_\-–—\s]*|(?:page|seite|página|pagina|p|pp|pg|s|f|fol)\.?\s*|[-–—]\s*(?:page|p\.)\s*)(?P<n>{_NUM})(?P<e>[\])}}>~*•·=_.\-–—\s]*|\s*(?:/|of|von|de|sur)\s*\d{{1,5}}[\]\s)]*)", re.I)
+_NUM = r"(?:\d{1,10}|[ivxlc]{1,8}|[IVXLC]{1,8})"
+_ALONE = re.compile(rf"(?P<d>[\[({{<~*•·=_\-–—\s]*|(?:page|seite|página|pagina|p|pp|pg|s|f|fol)\.?\s*|[-–—]\s*(?:page|p\.)\s*)(?P<n>{_NUM})(?P<e>[\])}}>~*•·=_.\-–—\s]*|\s*(?:/|of|von|de|sur)\s*\d{{1,10}}[\]\s)]*)", re.I)
 _BEFORE = re.compile(rf"(?P<n>{_NUM})(?:\s{{2,}}|\s*[|•·–—]\s*|\t+)(?P<h>\S.*)")
 _AFTER = re.compile(rf"(?P<h>.*\S)(?:(?:\s*[.·…_]{{2,}}\s*)|\s+(?:[|•·–—]\s*)?|\s+(?:p(?:age)?\.?\s*))(?P<n>{_NUM})")
 

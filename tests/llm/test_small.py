@@ -152,6 +152,14 @@ def test_edges():
     assert e("the end of a body line.").title is None and e("goes on here").title is None
 
 
+def test_pages_of_more_than_five_digits(spark):
+    body = "the memory of a queue is small\nand the table holds evidence."
+    heads = ["Bound archive {}", "{}   Bound archive", "Bound archive .... {}"]
+    rows = [(i, 1, i - 1, "ocr", page(i, body, heads[i % 3].format(i)) if i % 2 else page(i, body, "Bound archive", f"[{i}]" if i % 4 else str(i)), locator(page=i), "p", 1) for i in (*range(99_996, 100_004), *range(2_400_001, 2_400_009))]
+    got = {(r.chunk_id, r.defect) for r in scans.defects(spark.createDataFrame(rows, CHUNK)).collect()}
+    assert got == {(r[0], d) for r in rows for d in ("running_header", "page_number")}
+
+
 # ------------------------------------------------------------------ 4 and 6
 
 
