@@ -53,9 +53,13 @@ def evidence(hits: DataFrame, n: int = 3, key: str = "query_id") -> DataFrame:
     return kept.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
-def rerank(branch: DataFrame, scores: DataFrame, head: int = 20, key: str = "query_id") -> DataFrame:
-    """The first ``head`` candidates in the order of another score, the rest as they were."""
-    both = branch.join(scores, [key, "chunk_id"], "left")
+def rerank(branch: DataFrame, scores: DataFrame | None = None, head: int = 20, key: str = "query_id") -> DataFrame:
+    """The first ``head`` candidates in the order of another score, the rest as they were.
+
+    ``scores``: ``query_id, chunk_id, other``; none if the branch has ``other`` itself. They grow with the queries and pack so small on disk
+    that the planner would take them for a small table, so they are merged, not broadcast.
+    """
+    both = branch if scores is None else branch.join(scores.hint("merge"), [key, "chunk_id"], "left")
     first = F.col("rank") <= head
     w = Window.partitionBy(key).orderBy(F.when(first, 0).otherwise(1), F.when(first, -F.coalesce("other", F.lit(0.0))), F.when(first, F.col("chunk_id")), "rank")
     return both.withColumn("new_rank", F.row_number().over(w)).select(key, "chunk_id", F.col("new_rank").alias("rank"))

@@ -268,3 +268,19 @@ def test_requests():
 
     with pytest.raises(ValueError):
         Request(mode="psychic")
+
+
+def test_rerank_broadcasts_no_scores(spark):
+    """Scores grow with the queries; on disk they look small enough for a broadcast that no driver holds."""
+    rows = [(f"q{q}", c, c + 1, float((c * 7 + q) % 5) if c % 6 else None) for q in range(3) for c in range(25)]
+    branch = spark.createDataFrame(rows, "query_id string, chunk_id long, rank int, other double")
+    apart = fusion.rerank(branch.drop("other"), branch.where("other is not null").select("query_id", "chunk_id", "other"))
+    assert "Broadcast" not in apart._jdf.queryExecution().executedPlan().toString()
+    whole = fusion.rerank(branch)
+    assert "Join" not in whole._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for q in range(3):
+        own = [r for r in rows if r[0] == f"q{q}"]
+        order = sorted(own[:20], key=lambda r: (-(r[3] or 0.0), r[1])) + own[20:]
+        want |= {(r[0], r[1], k + 1) for k, r in enumerate(order)}
+    assert {tuple(r) for r in apart.collect()} == want == {tuple(r) for r in whole.collect()}
