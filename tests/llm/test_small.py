@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,22 @@ def test_similar(spark):
     assert np.array_equal(np.sort(similar.top(s[1:6], 7)), np.sort(np.argsort(-s[1:6], axis=1)[:, :7]))
 
 
+def test_similar_at_least(spark):
+    """What is below a limit leaves where a part is searched; the rest is as a filter of the whole result."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 16)).astype(np.float32)
+    x[300:330] = x[:30] + 0.01 * rng.normal(size=(30, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, "p", v.tolist()) for i, v in enumerate(x)], "id long, profile_id string, vector array<float>")
+    prof = spark.createDataFrame([("p", 16)], "id string, dimension int")
+    kept = lambda d: sorted(tuple(r) for r in d.select("id", "neighbour").collect())
+    for parts in (dict(per_part=100), dict(per_part=50, fan=4)):
+        near = similar.most_similar(df, prof, **parts)
+        few = similar.most_similar(df, prof, **parts, least=0.95)
+        assert kept(few) == kept(near.where("similarity >= 0.95")) and few.count() >= 60
+    of = lambda least: similar._meet([2], 2, least)((pa.scalar(0),), pa.table({"id": [1, 2, 3, 1, 2, 3], "is_query": [False] * 3 + [True] * 3, "v": [np.array(v, np.float16).tobytes() for v in ((1, 0), (1, 0), (0, 1))] + similar._small(np.array([(1, 0), (1, 0), (0, 1)], np.float32)).to_pylist()}))
+    assert of(-2.0)["id"].to_pylist() == [1, 2, 3] and of(0.9)["id"].to_pylist() == [1, 2] and of(1.5).num_rows == 0
+
+
 # ------------------------------------------------------------------ 3
 
 
